@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ramagem.functions.keys import bare_id, label_key, subreddit_key, valid_time
-from ramagem.operators import balance, features, hierarchy
-from ramagem.session import shared_folder
+from ramagem.operators import balance, compact, features, hierarchy, nested
+from ramagem.session import scratch_path, shared_folder
 from ramagem.sources.tables import table
 
 DAY = 86_400
@@ -165,6 +165,76 @@ def p3_descendants(spark: SparkSession, folder: str) -> DataFrame:
     return hierarchy.descendants(hierarchy.solve_links(_links(spark, folder), paths=True))
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return nested.comment_links(table(spark, folder, "raw_post")).select("post_id", "id", "parent_id").distinct()
+
+
+def _objects(spark: SparkSession, folder: str) -> DataFrame:
+    return nested.flat_objects(table(spark, folder, "raw_post"))
+
+
+def p4_posts(spark: SparkSession, folder: str) -> DataFrame:
+    field = F.col("fields")
+    return _objects(spark, folder).where("kind = 'post'").select(
+        "file_no",
+        "obj",
+        "id",
+        field["subreddit"].alias("subreddit"),
+        field["author"].alias("author"),
+        F.expr("try_cast(fields['created_utc'] as double)").alias("created_utc"),
+        field["title"].alias("title"),
+        field["selftext"].alias("selftext"),
+        F.expr("try_cast(fields['score'] as bigint)").alias("score"),
+    )
+
+
+def p4_comments(spark: SparkSession, folder: str) -> DataFrame:
+    field = F.col("fields")
+    return _objects(spark, folder).where("kind = 'comment'").select(
+        "file_no",
+        "obj",
+        "parent_obj",
+        "post_id",
+        "id",
+        "parent_id",
+        field["author"].alias("author"),
+        F.expr("try_cast(fields['created_utc'] as double)").alias("created_utc"),
+        field["body"].alias("body"),
+        F.expr("try_cast(fields['score'] as bigint)").alias("score"),
+    )
+
+
+def p4_objects(spark: SparkSession, folder: str) -> DataFrame:
+    """All other objects: awards, gallery items, polls, flairs, crossposts, links to more comments."""
+    return _objects(spark, folder).where("kind not in ('post', 'comment')")
+
+
+#: Small, so that the test data gives several output files.
+TEST_GROUP_BYTES = 16 << 20
+
+
+def _compacted(spark: SparkSession, folder: str) -> compact.Compacted:
+    files = table(spark, folder, "raw_post").select("file_no", "path", "subreddit", "post_id", "harvested_at", "doc")
+    return compact.compact(files, scratch_path(spark, "compact"), group_bytes=TEST_GROUP_BYTES)
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return compact.same_post_pairs(_compacted(spark, folder).index)
+
+
+def p5_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per output file."""
+    groups = _compacted(spark, folder).manifest["groups"]
+    rows = [(g["group_no"], g["rows"], g["size"]) for g in groups]
+    return spark.createDataFrame(rows, "group_no int, n_records long, n_bytes long")
+
+
+def p5_records(spark: SparkSession, folder: str) -> DataFrame:
+    """The records held, one per post."""
+    done = _compacted(spark, folder)
+    return done.index.where("kept").select("file_no", "sub_key", "post_key", "readable")
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_post_totals": p1_post_totals,
@@ -175,6 +245,13 @@ QUERIES = {
     "p3_found": p3_found,
     "p3_paths": p3_paths,
     "p3_descendants": p3_descendants,
+    "p4_found": p4_found,
+    "p4_posts": p4_posts,
+    "p4_comments": p4_comments,
+    "p4_objects": p4_objects,
+    "p5_found": p5_found,
+    "p5_manifest": p5_manifest,
+    "p5_records": p5_records,
 }
 
 _BARE = "nullif(regexp_replace({0}, '^.*_', ''), '')"
@@ -203,6 +280,22 @@ hops AS (SELECT id, up AS spot, 1 AS k FROM cyc UNION ALL SELECT h.id, c.up, h.k
 oncyc AS (SELECT DISTINCT id FROM hops WHERE spot = id)
 """
 
+_PATHS = """
+k AS (SELECT file_no, lower(split_part(path, '/', -2)) AS s, lower(regexp_replace(regexp_replace(split_part(path, '/', -1), '\\.json.*$', ''), '^.*_', '')) AS p FROM raw_post)
+"""
+_JSON = """
+docs AS (SELECT file_no, CAST(doc AS JSON) AS j FROM (SELECT file_no, doc FROM raw_post WHERE json_valid(doc))
+         WHERE json_array_length(CAST(doc AS JSON)) = 2 AND json_extract_string(doc, '$[0].kind') = 'Listing' AND json_extract_string(doc, '$[1].kind') = 'Listing'),
+post AS (SELECT file_no, regexp_replace(json_extract_string(j, '$[0].data.children[0].data.id'), '^.*_', '') AS pid, j FROM docs),
+walk AS (
+  SELECT file_no, pid, pid AS parent, unnest(json_extract(j, '$[1].data.children[*]')) AS node FROM post
+  UNION ALL
+  SELECT file_no, pid, coalesce(json_extract_string(node, '$.data.id'), parent), unnest(json_extract(node, '$.data.replies.data.children[*]'))
+  FROM walk WHERE json_extract_string(node, '$.kind') = 't1'),
+hits AS (SELECT file_no, pid AS post_id, regexp_replace(json_extract_string(node, '$.data.id'), '^.*_', '') AS id, parent AS parent_id, node
+         FROM walk WHERE json_extract_string(node, '$.kind') = 't1')
+"""
+
 SQL = {
     "p1_found": """
 WITH n AS (SELECT count(*) AS n FROM comments),
@@ -255,5 +348,13 @@ WITH RECURSIVE {_TREE},
 above AS (SELECT up AS ancestor, id, 1 AS distance FROM start WHERE up IS NOT NULL AND id IN (SELECT id FROM down)
   UNION ALL SELECT s.up, a.id, a.distance + 1 FROM above a JOIN start s ON a.ancestor = s.id WHERE s.up IS NOT NULL)
 SELECT ancestor, id, CAST(distance AS INTEGER) AS distance FROM above
+""",
+    "p4_found": f"""
+WITH RECURSIVE {_JSON}
+SELECT DISTINCT post_id, id, parent_id FROM hits WHERE id IS NOT NULL
+""",
+    "p5_found": f"""
+WITH {_PATHS}
+SELECT a.file_no AS file_a, b.file_no AS file_b FROM k a JOIN k b ON a.s = b.s AND a.p = b.p AND a.file_no < b.file_no
 """,
 }
