@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ramagem.functions.keys import bare_id
-from ramagem.llm import packing, pii, reading, tokens
+from ramagem.functions.keys import bare_id, subreddit_key
+from ramagem.llm import abuse, packing, pii, reading, tokens
 from ramagem.session import cut_lineage
 from ramagem.sources.tables import table
 
@@ -19,6 +19,32 @@ def _title_texts(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "post_header").select(F.lit("post_header").alias("record"), bare_id(F.col("id")).alias("id"), F.col("title").alias("text"))
 
 
+def _scored(spark: SparkSession, folder: str, *extra: str) -> DataFrame:
+    comments = table(spark, folder, "comments").withColumn("id", bare_id(F.col("id")))
+    marks = table(spark, folder, "message_annotation").select(bare_id(F.col("id")).alias("id"), "content_flag")
+    model = abuse.learn(comments.select("id", "body"), marks)
+    return abuse.scored(comments.select("id", "body", *extra), model, extra)
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _scored(spark, folder).where((F.col("score") >= abuse.THRESHOLD) & F.col("id").isNotNull()).select("id").distinct()
+
+
+def p6_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per message: the score, the worst segment and the nearest flagged example."""
+    best = F.max_by(F.struct("score", "segment", "example"), F.struct("score", "segment"))
+    return _scored(spark, folder).groupBy("id").agg(best.alias("s")).select("id", F.round("s.score", 6).alias("score"), "s.segment", "s.example")
+
+
+def p6_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """Messages and the share reported, by subreddit."""
+    rows = _scored(spark, folder, "subreddit").where("id is not null")
+    messages = rows.groupBy("id", subreddit_key(F.col("subreddit")).alias("subreddit")).agg(F.max("score").alias("score"))
+    return messages.groupBy("subreddit").agg(
+        F.count(F.lit(1)).alias("n_messages"), F.count_if(F.col("score") >= abuse.THRESHOLD).alias("n_flagged"), F.round(F.avg((F.col("score") >= abuse.THRESHOLD).cast("double")), 6).alias("rate")
+    )
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return pii.kinds_found(_comment_texts(spark, folder).unionByName(_title_texts(spark, folder)).where("id is not null"))
 
@@ -80,6 +106,9 @@ def p10_profile(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "p6_found": p6_found,
+    "p6_scores": p6_scores,
+    "p6_rates": p6_rates,
     "p7_found": p7_found,
     "p7_redacted": p7_redacted,
     "p8_ids": p8_ids,
