@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ramagem.plans import dealt
+from ramagem.plans import cascades, dealt
 
-MODULES = (dealt,)
+MODULES = (dealt, cascades)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,4 +20,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return queries()["p3_found"](spark, folder)
+    return queries()["cascade_features"](spark, folder)
