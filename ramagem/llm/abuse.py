@@ -28,9 +28,11 @@ from pyspark.sql import types as T
 #: Size of the hashed term space.
 TERM_SPACE = 1 << 20
 #: Most flagged and most clean labelled comments used as examples, chosen by hash of their id.
-MAX_FLAGGED, MAX_CLEAN = 6_000, 6_000
+MAX_FLAGGED, MAX_CLEAN = 3_000, 3_000
 #: Neighbours that vote, and the cosine below which none does.
 NEIGHBOURS, LEAST_COSINE = 9, 0.35
+#: A segment is voted on only if a flagged example is at least so near; else it scores 0.
+FLAGGED_REACH = 0.5
 #: An example counts as flagged from this share of its labels on, else as clean.
 FLAGGED_FROM = 0.25
 #: A vote weighs cosine to this power.
@@ -42,6 +44,8 @@ WINDOW, STRIDE = 14, 9
 BATCH_SEGMENTS = 4096
 #: Queries times documents scored at a time.
 CELLS_AT_ONCE = 4_000_000
+#: The weakest terms of a query, up to this part of its bar, bring up no candidates.
+WEAK_PART = 0.45
 #: Scored segments a worker remembers; a bound on memory, without effect on results.
 REMEMBERED = 300_000
 MARKERS = frozenset(("[deleted]", "[removed]", "[automoderator]", "[empty]"))
@@ -153,8 +157,8 @@ class Terms:
             got = self.known[word] = zlib.crc32(word.encode("utf-8", "surrogatepass"))
         return got
 
-    def of(self, parts: list[tuple[str, ...]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(segment, term, count), ordered and distinct by segment and term."""
+    def occurring(self, parts: list) -> tuple[np.ndarray, np.ndarray]:
+        """(segment, term) of every occurrence."""
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
         known, word = self.known, self._word
         flat = np.array([known.get(w) or word(w) for p in parts for w in p], np.int64)
@@ -164,7 +168,11 @@ class Terms:
         masked = np.array([i for i, p in enumerate(parts) if any("*" in w for w in p)], np.int64)
         seg = np.concatenate((owner, owner[:-1][same], masked))
         term = np.concatenate((flat, pair, np.full(len(masked), _MASK, np.int64)))
-        term = (term ^ (term >> 20)) & (TERM_SPACE - 1)
+        return seg, (term ^ (term >> 20)) & (TERM_SPACE - 1)
+
+    def of(self, parts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(segment, term, count), ordered and distinct by segment and term."""
+        seg, term = self.occurring(parts)
         key, count = np.unique(seg * TERM_SPACE + term, return_counts=True)
         return key // TERM_SPACE, key % TERM_SPACE, count
 
@@ -198,6 +206,7 @@ class BlockMaxIndex:
     def __init__(self, doc: np.ndarray, term: np.ndarray, weight: np.ndarray, docs: int):
         self.docs = docs
         self.blocks = -(-docs // BLOCK)
+        given_term, given_weight = term, weight
         order = self._numbering(doc, term, weight, docs)
         self.outside = order  # own number -> number given
         own = np.empty(docs, np.int64)
@@ -208,10 +217,15 @@ class BlockMaxIndex:
             self.entry_of_term = np.zeros(TERM_SPACE + 1, np.int64)
             return
         key = term * self.blocks + self.post_doc // BLOCK
+        self.doc_first = np.searchsorted(doc, np.arange(docs + 1))
+        self.doc_term, self.doc_weight = given_term, given_weight
         self.entry_first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         self.entry_last = np.append(self.entry_first[1:], len(key))
         self.entry_block = key[self.entry_first] % self.blocks
         self.entry_max = np.maximum.reduceat(self.post_weight, self.entry_first)
+        self.term_max = np.zeros(TERM_SPACE)
+        np.maximum.at(self.term_max, term[self.entry_first], self.entry_max)
+        self.local = np.zeros(TERM_SPACE, np.int32)
         self.entry_of_term = np.zeros(TERM_SPACE + 1, np.int64)
         np.add.at(self.entry_of_term, term[self.entry_first] + 1, 1)
         np.cumsum(self.entry_of_term, out=self.entry_of_term)
@@ -232,43 +246,68 @@ class BlockMaxIndex:
     def nearest(self, seg: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, k: int, bar: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query, document, cosine) of the k nearest documents of each query, if their cosine reaches the query's bar.
 
-        Ties at the last place go to the lower document number. Exact: a block is passed over only if the sum of its
-        maxima shows that no document in it can reach the bar.
+        Ties at the last place go to the lower document number. Exact: the weakest terms of a query, whose bounds add up
+        to a part of its bar only, bring up no documents; blocks and documents are passed over only if what they have
+        from the other terms, plus all that the weak ones could add, misses the bar.
         """
         none = np.zeros(0, np.int64)
         found = [(none, none, np.zeros(0))]
         step = max(8, min(512, CELLS_AT_ONCE // max(1, self.blocks)))
-        cuts = np.searchsorted(seg, np.arange(0, n + step, step)) if self.docs else ()
+        cuts = np.searchsorted(seg, np.arange(0, n + step, step)) if self.docs and len(self.post_doc) else ()
         for i, (a, z) in enumerate(zip(cuts, cuts[1:])):
-            if z == a:
-                continue
-            q, t, w = seg[a:z] - i * step, term[a:z], weight[a:z]
-            own_bar = np.resize(bar[i * step : (i + 1) * step], step)
-            run, entry = _expand(self.entry_of_term[t], self.entry_of_term[t + 1])
-            cell = q[run] * self.blocks + self.entry_block[entry]
-            most = np.bincount(cell, w[run] * self.entry_max[entry], minlength=step * self.blocks)
-            alive = most.reshape(step, self.blocks) >= own_bar[:, None] - 1e-9
-            open_cells = np.flatnonzero(alive)
-            if not len(open_cells):
-                continue
-            slot = np.full(step * self.blocks, -1, np.int64)
-            slot[open_cells] = np.arange(len(open_cells))
-            own = slot[cell]
-            use = np.flatnonzero(own >= 0)
-            inner, at = _expand(self.entry_first[entry[use]], self.entry_last[entry[use]])
-            inner = use[inner]
-            sums = np.bincount(own[inner] * BLOCK + self.post_doc[at] % BLOCK, w[run[inner]] * self.post_weight[at], minlength=len(open_cells) * BLOCK)
-            cells = np.flatnonzero(sums > 0)
-            place = open_cells[cells // BLOCK]
-            q, d, s = place // self.blocks, place % self.blocks * BLOCK + cells % BLOCK, sums[cells]
-            good = s >= own_bar[q]
-            q, d, s = q[good], self.outside[d[good]], s[good]
-            o = np.lexsort((d, -s, q))
-            q, d, s = q[o], d[o], s[o]
-            top = np.arange(len(q)) - np.searchsorted(q, q) < k
-            found.append((q[top] + i * step, d[top], s[top]))
+            if z > a:
+                q, d, s = self._nearest(seg[a:z] - i * step, term[a:z], weight[a:z], step, np.resize(bar[i * step : (i + 1) * step], step))
+                o = np.lexsort((d, -s, q))
+                q, d, s = q[o], d[o], s[o]
+                top = np.arange(len(q)) - np.searchsorted(q, q) < k
+                found.append((q[top] + i * step, d[top], s[top]))
         return tuple(np.concatenate(x) for x in zip(*found))
 
+    def _nearest(self, q: np.ndarray, t: np.ndarray, w: np.ndarray, n: int, bar: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        none = np.zeros(0, np.int64)
+        bound = w * self.term_max[t]
+        order = np.lexsort((bound, q))
+        upto = np.cumsum(bound[order])
+        first = np.searchsorted(q[order], np.arange(n))
+        upto -= np.concatenate(([0.0], upto))[first][q[order]]
+        weak = np.empty(len(q), bool)
+        weak[order] = upto <= WEAK_PART * bar[q[order]]
+        rest = np.bincount(q[weak], bound[weak], minlength=n)
+        able = np.bincount(q, bound, minlength=n) >= bar - 1e-9
+        strong = np.flatnonzero(~weak & able[q])
+        if not len(strong):
+            return none, none, np.zeros(0)
+        short = bar - rest - 1e-9
+        run, entry = _expand(self.entry_of_term[t[strong]], self.entry_of_term[t[strong] + 1])
+        run = strong[run]
+        cell = q[run] * self.blocks + self.entry_block[entry]
+        most = np.bincount(cell, w[run] * self.entry_max[entry], minlength=n * self.blocks)
+        open_cells = np.flatnonzero(most.reshape(n, self.blocks) >= short[:, None])
+        if not len(open_cells):
+            return none, none, np.zeros(0)
+        slot = np.full(n * self.blocks, -1, np.int32)
+        slot[open_cells] = np.arange(len(open_cells), dtype=np.int32)
+        own = slot[cell]
+        use = np.flatnonzero(own >= 0)
+        inner, at = _expand(self.entry_first[entry[use]], self.entry_last[entry[use]])
+        inner = use[inner]
+        sums = np.bincount(own[inner].astype(np.int64) * BLOCK + self.post_doc[at] % BLOCK, w[run[inner]] * self.post_weight[at], minlength=len(open_cells) * BLOCK)
+        cells = np.flatnonzero(sums > 0)
+        place = open_cells[cells // BLOCK]
+        who = place // self.blocks
+        near = sums[cells] >= short[who]
+        who, doc = who[near], self.outside[place[near] % self.blocks * BLOCK + cells[near] % BLOCK]
+        # exact cosines of what is left, by looking the documents' terms up in the queries' weights
+        used = np.unique(t)
+        self.local[used] = np.arange(1, len(used) + 1)
+        table = np.zeros((n, len(used) + 1))  # column 0: terms that no query has
+        table[q, self.local[t]] = w
+        pair, at = _expand(self.doc_first[doc], self.doc_first[doc + 1])
+        cosine = np.bincount(pair, self.doc_weight[at] * table[who[pair], self.local[self.doc_term[at]]], minlength=len(who))
+        self.local[used] = 0
+        good = cosine >= bar[who]
+        return who[good], doc[good], cosine[good]
+
 
 def votes(q: np.ndarray, s: np.ndarray, y: np.ndarray, m: np.ndarray, n: int) -> np.ndarray:
     """Share of the weighted votes for "flagged": weight by distance and, slowly, by the number of equal examples."""
@@ -296,7 +335,7 @@ class AbuseModel:
             return vote, near
         seg, term, count = self.terms.of(parts)
         w = weighted(seg, term, count, self.idf, n)
-        q, _, s = self.flagged.nearest(seg, term, w, n, 1, np.full(n, LEAST_COSINE))
+        q, _, s = self.flagged.nearest(seg, term, w, n, 1, np.full(n, FLAGGED_REACH))
         if not len(q):
             return vote, near
         # all that is at least as near as the nearest flagged example; only where that isn't enough, all down to the least
@@ -334,9 +373,10 @@ def term_frequencies(bodies: DataFrame) -> tuple[np.ndarray, int]:
                 owner += [i] * len(own)
             total += batch.num_rows
             if parts:
-                seg, term, _ = terms.of(parts)
-                once = np.unique(np.array(owner)[seg] * TERM_SPACE + term) % TERM_SPACE
-                table += np.bincount(once, minlength=TERM_SPACE)
+                seg, term = terms.occurring(parts)
+                codes = np.sort(np.array(owner)[seg] * TERM_SPACE + term)
+                fresh = np.concatenate(([True], codes[1:] != codes[:-1]))
+                table += np.bincount(codes[fresh] % TERM_SPACE, minlength=TERM_SPACE)
         used = np.flatnonzero(table)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1).astype(np.int32)), pa.array(np.append(table[used], total))], names=["term", "n"])
 
@@ -435,7 +475,7 @@ def calibrate(vote: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(slope), float(offset)
 
 
-def fit(labelled: list[tuple[str, str, float]], frequency: np.ndarray, comments: int, folds: int = 3) -> AbuseModel | None:
+def fit(labelled: list[tuple[str, str, float]], frequency: np.ndarray, comments: int, folds: int = 2) -> AbuseModel | None:
     """The model, calibrated on folds of labelled comments that were held out (copies of a body share a fold)."""
     if not labelled:
         return None
