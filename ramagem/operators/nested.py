@@ -241,7 +241,7 @@ _KIND, _DATA, _CHILDREN, _REPLIES, _ID = range(5)
 ENTRY_KINDS = {"t3": "post", "t1": "comment"}
 
 OBJECT_SCHEMA = (
-    "file_no bigint, obj int, parent_obj int, kind string, name string, place int, "
+    "file_no bigint, obj int, parent_obj int, kind string, name string, place int, depth int, "
     "post_id string, id string, parent_id string, fields map<string,string>, lists map<string,string>"
 )
 LINK_SCHEMA = "file_no bigint, post_id string, id string, parent_id string"
@@ -373,7 +373,7 @@ class _Posts:
         number: dict[int, int] = {}
         count: dict[int, int] = {}
         post_ids = {d: self.entry_id(int(c)) for d, c in enumerate(self.post_of) if c >= 0}
-        own_id: dict[int, str | None] = {}
+        level: dict[int, int] = {}  # comments at or above it
         near: dict[int, str | None] = {}  # id of the nearest comment at or above, else of the post
 
         def name_of(c: int) -> str | None:
@@ -395,9 +395,9 @@ class _Posts:
             if word == "comment" and not self.is_comment[c] or word == "post" and not self.is_post[c]:
                 word = "entry"
             own = self.entry_id(c) if entry else None
-            own_id[c] = own
             above = near.get(up, post_ids.get(d))
             near[c] = own if word == "comment" and own is not None else above
+            level[c] = level.get(up, 0) + (word == "comment")
             fields, lists = {}, {}
             for holder in (c, int(self.box_of[c])) if entry else (c,):
                 if holder < 0:
@@ -411,7 +411,7 @@ class _Posts:
                         fields[key] = _scalar(text, va, vz, bool(ix.m_string[m]))
                     elif not ix.c_is_object[child] and key != "children":
                         lists[key] = text[va:vz].decode("utf-8", "replace")
-            yield d, number[c], number.get(up), word, name_of(c), int(ix.c_place[c]), post_ids.get(d), own, above, fields, lists
+            yield d, number[c], number.get(up), word, name_of(c), int(ix.c_place[c]), level[c], post_ids.get(d), own, above, fields, lists
 
 
 def _chunks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -466,7 +466,7 @@ def flat_objects(files: DataFrame) -> DataFrame:
     """One row for each object in files (file_no, doc), naming the object that holds it: see OBJECT_SCHEMA.
 
     kind: post, comment, entry kinds of other names, or object. obj numbers the objects of a file in order of text,
-    parent_obj is the number of the enclosing one (null at the top). fields holds scalar members as text (the last of
+    parent_obj is the number of the enclosing one (null at the top), depth the number of comments at or above. fields holds scalar members as text (the last of
     repeated keys), lists the arrays as JSON. Posts and comments have id; parent_id is the enclosing comment, else the post.
     """
     schema = _arrow_schema(OBJECT_SCHEMA)

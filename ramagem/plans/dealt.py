@@ -194,6 +194,7 @@ def p4_comments(spark: SparkSession, folder: str) -> DataFrame:
         "file_no",
         "obj",
         "parent_obj",
+        "depth",
         "post_id",
         "id",
         "parent_id",

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ramagem.plans import cascades, dealt
+from ramagem.plans import cascades, dealt, records
 
-MODULES = (dealt, cascades)
+MODULES = (dealt, cascades, records)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
