@@ -45,7 +45,7 @@ BATCH_SEGMENTS = 4096
 #: Queries times documents scored at a time.
 CELLS_AT_ONCE = 4_000_000
 #: The weakest terms of a query, up to this part of its bar, bring up no candidates.
-WEAK_PART = 0.45
+WEAK_PART = 0.5
 #: Scored segments a worker remembers; a bound on memory, without effect on results.
 REMEMBERED = 300_000
 MARKERS = frozenset(("[deleted]", "[removed]", "[automoderator]", "[empty]"))
@@ -116,8 +116,10 @@ def sentences(body: str | None) -> list[list[str]]:
     out = []
     plain = _PLAIN
     for part in _BREAK.split(text):
-        words = [w for w in [plain[t] for t in _TOKEN.findall(part)] if w]
-        if sum([len(w) == 1 for w in words]) > 3:
+        words = [plain[t] for t in _TOKEN.findall(part)]
+        if "" in words:
+            words = [w for w in words if w]
+        if len(words) > 3 and list(map(len, words)).count(1) > 3:
             words = _joined(words)
         if words:
             out.append(words)
@@ -165,7 +167,7 @@ class Terms:
         owner = np.repeat(np.arange(len(parts)), sizes)
         same = owner[1:] == owner[:-1] if len(owner) else np.zeros(0, bool)
         pair = ((flat[:-1] * 1_000_003) ^ (flat[1:] * 69_069 + 12_345))[same]
-        masked = np.array([i for i, p in enumerate(parts) if any("*" in w for w in p)], np.int64)
+        masked = np.array([i for i, p in enumerate(parts) if "*" in "".join(p)], np.int64)
         seg = np.concatenate((owner, owner[:-1][same], masked))
         term = np.concatenate((flat, pair, np.full(len(masked), _MASK, np.int64)))
         return seg, (term ^ (term >> 20)) & (TERM_SPACE - 1)
