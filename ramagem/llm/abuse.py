@@ -258,14 +258,14 @@ class BlockMaxIndex:
         cuts = np.searchsorted(seg, np.arange(0, n + step, step)) if self.docs and len(self.post_doc) else ()
         for i, (a, z) in enumerate(zip(cuts, cuts[1:])):
             if z > a:
-                q, d, s = self._nearest(seg[a:z] - i * step, term[a:z], weight[a:z], step, np.resize(bar[i * step : (i + 1) * step], step))
+                q, d, s = self._nearest(seg[a:z] - i * step, term[a:z], weight[a:z], step, k, np.resize(bar[i * step : (i + 1) * step], step))
                 o = np.lexsort((d, -s, q))
                 q, d, s = q[o], d[o], s[o]
                 top = np.arange(len(q)) - np.searchsorted(q, q) < k
                 found.append((q[top] + i * step, d[top], s[top]))
         return tuple(np.concatenate(x) for x in zip(*found))
 
-    def _nearest(self, q: np.ndarray, t: np.ndarray, w: np.ndarray, n: int, bar: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _nearest(self, q: np.ndarray, t: np.ndarray, w: np.ndarray, n: int, k: int, bar: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         none = np.zeros(0, np.int64)
         bound = w * self.term_max[t]
         order = np.lexsort((bound, q))
@@ -297,7 +297,16 @@ class BlockMaxIndex:
         cells = np.flatnonzero(sums > 0)
         place = open_cells[cells // BLOCK]
         who = place // self.blocks
-        near = sums[cells] >= short[who]
+        near = np.flatnonzero(sums[cells] >= short[who])
+        who, cells, place = who[near], cells[near], place[near]
+        known = sums[cells]
+        # the strong terms alone prove k documents to be at least so near: a higher bar, still exact
+        order = np.lexsort((-known, who))
+        sorted_who = who[order]
+        kth = order[np.flatnonzero(np.arange(len(order)) - np.searchsorted(sorted_who, sorted_who) == k - 1)]
+        bar = bar.copy()
+        bar[who[kth]] = np.maximum(bar[who[kth]], known[kth])
+        near = known >= (bar - rest - 1e-9)[who]
         who, doc = who[near], self.outside[place[near] % self.blocks * BLOCK + cells[near] % BLOCK]
         # exact cosines of what is left, by looking the documents' terms up in the queries' weights
         used = np.unique(t)
@@ -307,7 +316,7 @@ class BlockMaxIndex:
         pair, at = _expand(self.doc_first[doc], self.doc_first[doc + 1])
         cosine = np.bincount(pair, self.doc_weight[at] * table[who[pair], self.local[self.doc_term[at]]], minlength=len(who))
         self.local[used] = 0
-        good = cosine >= bar[who]
+        good = cosine >= bar[who] - 1e-12
         return who[good], doc[good], cosine[good]
 
 
