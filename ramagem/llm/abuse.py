@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -61,7 +62,7 @@ _STARS = re.compile(r"\*+")
 # Fixed tables: digits and signs written for letters, and letters of other scripts that look like Latin ones.
 _LEET = str.maketrans("0134578@$", "oieastbas")
 _LOOKALIKE = str.maketrans("аеорсухіјһѕԁοαειρνкмтвн", "aeopcyxijhsdoaeipvkmtbh")
-_BREAK = re.compile(r"[.!?…\n\r;|]+|\s[-–—]\s")
+_BREAKS = (".", "!", "?", "…", "\r", ";", "|", " - ", " – ", " — ")
 _TOKEN = re.compile(rf"[\w@$*{_INVISIBLE_CHARS}{_COMBINING_CHARS}]+")
 _LATIN = re.compile(r"[a-z]")
 
@@ -115,7 +116,11 @@ def sentences(body: str | None) -> list[list[str]]:
         text = _LINK.sub(" ", text)
     out = []
     plain = _PLAIN
-    for part in _BREAK.split(text):
+    for mark in _BREAKS:
+        text = text.replace(mark, "\n")
+    for part in text.split("\n"):
+        if not part:
+            continue
         words = [plain[t] for t in _TOKEN.findall(part)]
         if "" in words:
             words = [w for w in words if w]
@@ -378,16 +383,19 @@ def term_frequencies(bodies: DataFrame) -> tuple[np.ndarray, int]:
         terms, table, total = Terms(), np.zeros(TERM_SPACE, np.int64), 0
         for batch in batches:
             parts, owner = [], []
-            for i, body in enumerate(batch.column(0).to_pylist()):
+            times = Counter(batch.column(0).to_pylist())  # equal bodies are read once
+            for i, body in enumerate(times):
                 own = sentences(body)
                 parts += own
                 owner += [i] * len(own)
             total += batch.num_rows
+            often = np.fromiter(times.values(), np.int64, len(times))
             if parts:
                 seg, term = terms.occurring(parts)
                 codes = np.sort(np.array(owner)[seg] * TERM_SPACE + term)
                 fresh = np.concatenate(([True], codes[1:] != codes[:-1]))
-                table += np.bincount(codes[fresh] % TERM_SPACE, minlength=TERM_SPACE)
+                codes = codes[fresh]
+                np.add.at(table, codes % TERM_SPACE, often[codes // TERM_SPACE])
         used = np.flatnonzero(table)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1).astype(np.int32)), pa.array(np.append(table[used], total))], names=["term", "n"])
 
@@ -529,16 +537,17 @@ def scored(comments: DataFrame, model: AbuseModel | None, extra: tuple[str, ...]
         held: dict[tuple[str, ...], tuple[float, int]] = {}
         for batch in batches:
             bodies = batch.column("body").to_pylist()
-            parts = [segments(b) for b in bodies] if model else [[] for _ in bodies]
-            fresh = [p for p in dict.fromkeys(p for own in parts for p in own) if p not in held]
+            known = {b: segments(b) if model else [] for b in set(bodies)}
+            parts = [known[b] for b in bodies]
+            fresh = [p for p in dict.fromkeys(p for own in known.values() for p in own) if p not in held]
             if len(held) + len(fresh) > REMEMBERED:
                 held.clear()
-                fresh = list(dict.fromkeys(p for own in parts for p in own))
+                fresh = list(dict.fromkeys(p for own in known.values() for p in own))
             for a in range(0, len(fresh), BATCH_SEGMENTS):
                 some = fresh[a : a + BATCH_SEGMENTS]
                 vote, near = model.raw(some)
                 held.update(zip(some, zip(vote.tolist(), near.tolist())))
-            worst = [max(own, key=lambda p: held[p][0], default=None) for own in parts]
+            worst = [(own[0] if len(own) == 1 else max(own, key=lambda p: held[p][0])) if own else None for own in parts]
             votes_of = np.array([held[p][0] if p else 0.0 for p in worst])
             score = model.probability(votes_of) if model else votes_of
             text = [" ".join(p) if p and v > 0 else None for p, v in zip(worst, votes_of)]
