@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ramagem.functions.bins import quartile
 from ramagem.functions.keys import DELETED_MARKERS, VALID_LABELS
+from ramagem.session import with_scalars
 
 # Accounts left out, by the kind of analysis.
 TALLY_ACCOUNTS = ("[deleted]", "deleted", "automoderator", "redditcaresresources")
@@ -106,7 +107,7 @@ def churn(messages: DataFrame, names: Sequence[str] = SURVIVAL_ACCOUNTS, least:
     lives = drop_accounts(stamped, names, any_case=True).groupBy("author").agg(
         F.min("timestamp").alias("a"), F.max("timestamp").alias("z"), F.count(F.lit(1)).alias("total_msgs"), F.count_if(F.col("label") == "NEGATIVE").alias("neg")
     )
-    rows = lives.where(F.col("total_msgs") >= least).crossJoin(F.broadcast(last)).select(  # one row
+    rows = with_scalars(lives.where(F.col("total_msgs") >= least), last).select(
         "author",
         F.greatest((F.col("z") - F.col("a")) / 86400, F.lit(0.5)).alias("duration_days"),
         ((F.col("end") - F.col("z")) / 86400 > idle_days).cast("int").alias("event"),
@@ -116,4 +117,4 @@ def churn(messages: DataFrame, names: Sequence[str] = SURVIVAL_ACCOUNTS, least:
     cuts = rows.agg(F.percentile("neg_ratio", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("cuts"))
     value = F.col("neg_ratio")
     kind = F.when(value <= F.col("cuts")[0], "UQ1").when(value <= F.col("cuts")[1], "UQ2").when(value <= F.col("cuts")[2], "UQ3").otherwise("UQ4")
-    return rows.crossJoin(F.broadcast(cuts)).select(*rows.columns, kind.alias("user_quartile"))
+    return with_scalars(rows, cuts).select(*rows.columns, kind.alias("user_quartile"))

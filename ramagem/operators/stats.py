@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ramagem.functions import special
+from ramagem.session import with_scalars
 
 
 def value_counts(df: DataFrame, group: str, value: str) -> DataFrame:
@@ -36,7 +37,7 @@ def kruskal(df: DataFrame, group: str, value: str) -> DataFrame:
     n = F.col("n").cast("double")
     fix = 1 - F.col("ties") / (n * n * n - n)
     h = (12 / (n * (n + 1)) * F.col("q") - 3 * (n + 1)) / F.nullif(fix, F.lit(0.0))
-    return total.crossJoin(ties).select(h.alias("h"), "n", "groups")  # one row each
+    return with_scalars(total, ties).select(h.alias("h"), "n", "groups")
 
 
 def kruskal_p(h: float | None, groups: int) -> float | None:
@@ -150,7 +151,8 @@ def cox_one(df: DataFrame, duration: str, event: str, covariate: str, steps: int
         part = F.col("j") / F.col("d")
         each = s.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("d").cast("int") - 1)))
         a, b, c = (F.col(f"r{k}") - part * F.col(f"d{k}") for k in range(3))
-        moved = each.agg(F.sum(b / a).alias("g"), F.sum(c / a - (b / a) * (b / a)).alias("h")).crossJoin(s.agg(F.sum("sx").alias("sx"))).first()
+        moved = each.agg(F.sum(b / a).alias("g"), F.sum(c / a - (b / a) * (b / a)).alias("h"))
+        moved = with_scalars(moved, s.agg(F.sum("sx").alias("sx"))).first()
         if not moved["h"]:
             return 0.0, 1.0, 1.0
         info = moved["h"]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ramagem.session import with_scalars
 # Fixed word lists: words without content in Portuguese, Spanish and English, and words of the medium.
 STOPWORDS = {
     "pt": "a o e as os um uma de do da dos das em no na nos nas que não com por para se eu meu minha ele ela isso é foi mais já".split(),
@@ -53,7 +54,7 @@ def term_valence(terms: DataFrame, group: str, g1: str, g2: str, stop: DataFrame
         .join(F.broadcast(stop), "term", "left_anti")
     )
     totals = counted.agg(F.sum("c1").alias("t1"), F.sum("c2").alias("t2"), F.percentile(F.col("c1") + F.col("c2"), percentile).alias("cut"))
-    joined = counted.crossJoin(F.broadcast(totals))  # one row
+    joined = with_scalars(counted, totals)
     f1, f2 = F.col("c1") / F.nullif("t1", F.lit(0)), F.col("c2") / F.nullif("t2", F.lit(0))
     f1, f2 = F.coalesce(f1, F.lit(0.0)), F.coalesce(f2, F.lit(0.0))
     return joined.where(F.col("c1") + F.col("c2") >= F.col("cut")).select("term", (2 * f2 / (f1 + f2) - 1).alias("valence"), (F.col("c1") + F.col("c2")).alias("total"))
@@ -127,7 +128,7 @@ def topic_entropy(assigned: DataFrame, key: str, topic: str = "topic") -> DataFr
     e = e.withColumn("entropy", F.greatest(F.col("entropy"), F.lit(0.0)))
     ends = e.agg(F.min("entropy").alias("lo"), F.max("entropy").alias("hi"))
     scaled = F.when(F.col("hi") > F.col("lo"), (F.col("entropy") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(F.col("entropy"))
-    return e.crossJoin(F.broadcast(ends)).select(key, "entropy", scaled.alias("scaled"))  # one row
+    return with_scalars(e, ends).select(key, "entropy", scaled.alias("scaled"))
 
 
 def assign_topics(vectors: DataFrame, key: str, vector: str, k: int = 10, seed: int = 42, outlier_share: float = 0.05) -> DataFrame:
@@ -141,4 +142,4 @@ def assign_topics(vectors: DataFrame, key: str, vector: str, k: int = 10, seed:
     placed = model.transform(data).select(key, "topic", vector_to_array("features").alias("v")).join(F.broadcast(centers), "topic")  # k rows
     far = placed.withColumn("d", F.aggregate(F.zip_with("v", "center", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
     cut = far.agg(F.percentile_approx("d", 1 - outlier_share, 10_000).alias("cut"))
-    return far.crossJoin(F.broadcast(cut)).select(key, F.when(F.col("d") > F.col("cut"), -1).otherwise(F.col("topic")).alias("topic"))  # one row
+    return with_scalars(far, cut).select(key, F.when(F.col("d") > F.col("cut"), -1).otherwise(F.col("topic")).alias("topic"))

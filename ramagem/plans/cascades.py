@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ramagem.functions.bins import quartile
 from ramagem.functions.keys import VALID_LABELS
 from ramagem.operators import forest, messages, motifs, social, stats
-from ramagem.session import cut_lineage
+from ramagem.session import cut_lineage, with_scalars
 from ramagem.sources.tables import table
 
 _HELD: dict[tuple[str, str, str], DataFrame] = {}
@@ -108,7 +108,7 @@ def quartile_descriptives(spark, folder):
         F.count(F.lit(1)).alias("n"),
         *[F.round(fn(c), 6).alias(f"{name}_{c}") for c in ("structural_virality", "cascade_size", "max_depth") for name, fn in (("mean", F.avg), ("median", F.median), ("std", F.stddev_samp))],
     )
-    return d.crossJoin(F.broadcast(total)).withColumn("share", F.round(F.col("n") / F.col("all") * 100, 6)).drop("all")  # one row
+    return with_scalars(d, total).withColumn("share", F.round(F.col("n") / F.col("all") * 100, 6)).drop("all")
 
 
 def group_moments(spark, folder):
@@ -140,7 +140,7 @@ def triad_heatmap(spark, folder):
     names = spark.createDataFrame(list(motifs.NAMED_TRIADS.items()), "triad string, name string")
     total = t.join(F.broadcast(names), "triad").agg(F.sum("n").alias("all"))
     wide = t.join(F.broadcast(names), "triad").groupBy("triad", "name").pivot("category", [f"cat{i}" for i in range(4)]).agg(F.sum("n")).na.fill(0)
-    return wide.crossJoin(F.broadcast(total)).select("triad", "name", *[F.round(F.col(f"cat{i}") / F.col("all") * 100, 6).alias(f"cat{i}") for i in range(4)])  # one row
+    return with_scalars(wide, total).select("triad", "name", *[F.round(F.col(f"cat{i}") / F.col("all") * 100, 6).alias(f"cat{i}") for i in range(4)])
 
 
 def sentiment_triples(spark, folder):
@@ -213,7 +213,7 @@ def dataset_overview(spark, folder):
         F.count_if(F.col("label") == "NEGATIVE").alias("negative"),
     )
     cascades = _features(spark, folder).agg(F.count(F.lit(1)).alias("cascades"), F.sum("cascade_size").alias("messages_in_cascades"))
-    return counts.crossJoin(cascades)  # one row each
+    return with_scalars(counts, cascades)
 
 
 def homophily_index(spark, folder):
@@ -245,7 +245,7 @@ def survival_rows(spark, folder):
 def km_curve(spark, folder):
     s = held(spark, folder, "stays", lambda: social.stays(_messages(spark, folder)))
     cut = s.agg(F.percentile("exposure_ratio", 0.75).alias("cut"))
-    split = s.crossJoin(F.broadcast(cut)).withColumn("exposure", F.when(F.col("exposure_ratio") >= F.col("cut"), "high").otherwise("low"))  # one row
+    split = with_scalars(s, cut).withColumn("exposure", F.when(F.col("exposure_ratio") >= F.col("cut"), "high").otherwise("low"))
     k = stats.kaplan_meier(split, "exposure", "duration", "event")
     return k.select(F.col("g").alias("exposure"), "t", "at_risk", "events", F.round("survival", 9).alias("survival"))
 

@@ -10,6 +10,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
@@ -79,6 +80,12 @@ def drop_scratch() -> None:
             return
 
 
+def with_scalars(df: DataFrame, one: DataFrame) -> DataFrame:
+    """df with the columns of a one-row aggregate as constants; the aggregate is computed now. Nulls if it has no row."""
+    row = one.first()
+    return df.withColumns({f.name: F.lit(row[f.name] if row else None).cast(f.dataType) for f in one.schema.fields})
+
+
 def shuffle_tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

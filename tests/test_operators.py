@@ -265,3 +265,36 @@ def test_stays_and_churn(spark):
     got = {r["author"]: (r["duration"], r["event"]) for r in social.stays(m).collect()}
     assert got == {"u0": (10, 0), "u1": (10, 0), "u2": (10, 0)}
     assert social.churn(m, least=4).count() == 3 and social.churn(m.limit(0)).count() == 0
+
+
+def test_media(spark, tmp_path):
+    from ramagem.operators import media
+
+    for name in ("a.png", "a.jpg", "b.gif", "c.txt"):
+        (tmp_path / name).write_bytes(name.encode())
+    found = files.media_files(spark, str(tmp_path))
+    assert {r["stem"]: r["path"].rsplit("/", 1)[1] for r in found.collect()} == {"a": "a.jpg", "b": "b.gif"}
+
+    def describer(content: bytes, extension: str) -> str:
+        if content == b"bad":
+            raise OSError
+        return "abcabcabcabcabc" if content == b"loop" else f"{extension} of {len(content)}"
+
+    links = spark.createDataFrame([("x/1.PNG?s=1", b"1234"), ("x/2.gif", b"bad"), ("x/3.gif", None), ("x/4.gif", b"loop")], "link string, content binary")
+    got = {r["link"]: r["text"] for r in media.describe(links, describer).collect()}
+    assert got == {"x/1.PNG?s=1": "png of 4", "x/2.gif": rewrite.MEDIA_FALLBACK, "x/3.gif": rewrite.MEDIA_FALLBACK, "x/4.gif": rewrite.LOOP_FALLBACK}
+    told = found.select("path", F.lit("t").alias("text")).limit(1)
+    rows = media.enrich(spark.createDataFrame([("a",), ("z",)], "id string"), found, told).collect()
+    assert {r["id"]: r["has_media"] for r in rows} == {"a": True, "z": False}
+
+
+def test_pipeline_state(spark, tmp_path):
+    from ramagem.sources.state import PipelineState
+
+    state = PipelineState(spark, f"file://{tmp_path}/state.json")
+    assert state.phase("s") == 0
+    state.finish("s", 2, flat="x")
+    state.finish("s", 1)
+    assert PipelineState(spark, f"file://{tmp_path}/state.json").phase("s") == 2 and state.todo(["s", "t"], 2) == ["t"]
+    with pytest.raises(ValueError):
+        state.finish("s", 9)
