@@ -354,22 +354,14 @@ class AbuseModel:
         q, _, s = self.flagged.nearest(seg, term, w, n, 1, np.full(n, FLAGGED_REACH))
         if not len(q):
             return vote, near
-        # all that is at least as near as the nearest flagged example; only where that isn't enough, all down to the least
-        left, bar = q, s
-        for last in (False, True):
-            number = np.full(n, -1, np.int64)
-            number[left] = np.arange(len(left))
-            use = number[seg] >= 0
-            q, d, s = self.every.nearest(number[seg[use]], term[use], w[use], len(left), NEIGHBOURS, bar)
-            enough = np.bincount(q, minlength=len(left)) >= NEIGHBOURS
-            done = np.ones(len(left), bool) if last else enough
-            vote[left[done]] = votes(q, s, self.y[d], self.m[d], len(left))[done]
-            hot = (self.y[d] > 0) & done[q]
-            near[left[q[hot]][::-1]] = d[hot][::-1]
-            left = left[~done]
-            if not len(left):
-                break
-            bar = np.full(len(left), LEAST_COSINE)
+        number = np.full(n, -1, np.int64)
+        number[q] = np.arange(len(q))
+        close = q
+        use = number[seg] >= 0
+        q, d, s = self.every.nearest(number[seg[use]], term[use], w[use], len(close), NEIGHBOURS, np.full(len(close), LEAST_COSINE))
+        vote[close] = votes(q, s, self.y[d], self.m[d], len(close))
+        hot = self.y[d] > 0
+        near[close[q[hot]][::-1]] = d[hot][::-1]
         return vote, near
 
     def probability(self, vote: np.ndarray) -> np.ndarray:
