@@ -84,6 +84,16 @@ def test_held_out_comments():
     assert (said & truth).sum() / said.sum() > 0.88 and (said & truth).sum() / truth.sum() > 0.78
 
 
+def test_segments_vote_down_to_the_least_cosine():
+    model = abuse.build([("a", "seu idiota imundo some daqui", 1.0), ("b", "bom dia a todos", 0.0)], np.zeros(abuse.TERM_SPACE, np.int64), 100)
+    parts = abuse.segments("idiota imundo meu carro") + abuse.segments("some gente nova")
+    seg, term, count = abuse.Terms().of(parts)
+    q, _, cosine = model.flagged.nearest(seg, term, abuse.weighted(seg, term, count, model.idf, 2), 2, 1, np.full(2, 0.01))
+    assert list(q) == [0, 1] and abuse.LEAST_COSINE <= cosine[0] < 0.5 and cosine[1] < abuse.LEAST_COSINE
+    vote, near = model.raw(parts)
+    assert vote[0] > 0 and near[0] == 0 and vote[1] == 0 and near[1] == -1
+
+
 def test_abuse_frames(spark):
     comments = spark.createDataFrame([("a", "seu idiota", 1), ("b", "bom dia a todos", 1), ("c", None, 1), ("d", "", 1), ("e", "seu idiota", 2), ("f", "seu idiota mesmo", 3)], "id string, body string, score long")
     marks = spark.createDataFrame([("a", "abuse"), ("a", "abuse"), ("b", "none"), ("c", "hate"), ("x", None)], "id string, content_flag string")
