@@ -10,17 +10,26 @@ from pyspark.sql import functions as F
 from ramagem.sources.files import FOOTER, MESSAGE_SCHEMA
 
 
-def process_new(spark: SparkSession, source: str, sink: str, checkpoint: str, work: Callable[[DataFrame], DataFrame] = lambda df: df, keep: str = "30 days") -> None:
+_STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def process_new(spark: SparkSession, source: str, sink: str, checkpoint: str, work: Callable[[DataFrame], DataFrame] = lambda df: df) -> None:
     """Run `work` over the files that came since the last call and append its rows to sink; safe to repeat after a crash.
 
-    Repeats of an id within `keep` of its time are dropped; rows without time count as one instant. Footers and bad
-    lines are left out. Returns when all files that are there are done.
+    Repeats of an id are dropped, however much later they come; no row is dropped for its time, be it old, 0 or null.
+    Footers and bad lines are left out. Returns when all files that are there are done. The ids met so far are kept on
+    the executors' disks and in the checkpoint, one for each message.
     """
     rows = spark.readStream.schema(MESSAGE_SCHEMA).option("mode", "PERMISSIVE").json(source)
     good = rows.where(F.col("_corrupt_record").isNull() & F.col("id").isNotNull() & ~F.coalesce(F.col("type") == FOOTER, F.lit(False))).drop("_corrupt_record")
-    timed = good.withColumn("at", F.timestamp_seconds(F.coalesce("timestamp", F.lit(0.0)))).withWatermark("at", keep)
-    once = timed.dropDuplicatesWithinWatermark(["id"]).drop("at")
-    query = work(once).writeStream.format("json").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(sink)
+    once = good.dropDuplicates(["id"])
+    before = spark.conf.get(_STATE_STORE)
+    spark.conf.set(_STATE_STORE, _ROCKS)  # the default one holds all ids in memory
+    try:
+        query = work(once).writeStream.format("json").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(sink)
+    finally:
+        spark.conf.set(_STATE_STORE, before)
     query.awaitTermination()
 
 

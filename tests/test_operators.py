@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import json
 import math
 import random
 
@@ -259,6 +260,22 @@ def test_files_and_stream(spark, tmp_path):
     assert wider.columns == ["a", "b"]
 
 
+def test_stream_keeps_late_and_timeless_rows(spark, tmp_path):
+    now, months = 1.7e9, 200 * 86400
+    calls = [
+        [("a", now), ("none", None), ("zero", 0), ("old", now - months), ("none", None)],
+        [("new none", None), ("new zero", 0), ("late", now - months), ("none", None), ("zero", 0), ("old", now + months), ("a", now)],
+    ]
+    where = [str(tmp_path / x) for x in ("in", "out", "state")]
+    (tmp_path / "in").mkdir()
+    seen = []
+    for i, rows in enumerate(calls):
+        (tmp_path / "in" / f"{i}.jsonl").write_text("".join(json.dumps({"type": "comment", "id": k, "timestamp": t}) + "\n" for k, t in rows))
+        resume.process_new(spark, *where)
+        seen.append(sorted(r["id"] for r in spark.read.schema("id string").json(where[1]).collect()))
+    assert seen == [["a", "none", "old", "zero"], ["a", "late", "new none", "new zero", "none", "old", "zero"]]
+
+
 def test_stays_and_churn(spark):
     rows = [(i, f"u{i % 3}", "t", float(i // 2), "NEGATIVE" if i % 4 == 0 else "NEUTRAL") for i in range(12)] + [(99, "AutoModerator", "t", 3.0, "NEGATIVE"), (98, None, "t", 3.0, "NEGATIVE"), (97, "u0", "t", None, "NEGATIVE")]
     m = spark.createDataFrame(rows, "id long, author string, thread string, timestamp double, label string")
