@@ -364,6 +364,8 @@ class _Posts:
         rows = rows[np.argsort(ix.c_open[rows], kind="stable")]
         is_row = np.zeros(len(ix.c_open), bool)
         is_row[rows] = True
+        of_listing = np.zeros(len(ix.c_open), bool)  # arrays whose objects are entries
+        of_listing[self.array[entries]] = True
         # members by owner
         use = np.flatnonzero(ix.m_valid & self.readable[ix.c_doc[ix.m_owner]])
         use = use[np.argsort(ix.m_owner[use], kind="stable")]
@@ -409,7 +411,7 @@ class _Posts:
                     child = int(ix.m_child[m])
                     if child < 0:
                         fields[key] = _scalar(text, va, vz, bool(ix.m_string[m]))
-                    elif not ix.c_is_object[child] and key != "children":
+                    elif not ix.c_is_object[child] and not of_listing[child]:
                         lists[key] = text[va:vz].decode("utf-8", "replace")
             yield d, number[c], number.get(up), word, name_of(c), int(ix.c_place[c]), level[c], post_ids.get(d), own, above, fields, lists
 

@@ -237,6 +237,18 @@ def test_objects_name_their_parents(spark):
     assert got[5]["fields"]["body"] == 'q "x" \\ é' and got[3]["parent_obj"] == 2 and got[6]["parent_obj"] == 5
 
 
+def test_links_to_more_comments_are_kept(spark):
+    more = {"kind": "more", "data": {"count": 2, "id": "m", "children": ["x", "y"]}}
+    post = {"kind": "t3", "data": {"id": "p"}}
+    inner = {"kind": "Listing", "data": {"children": [{"kind": "more", "data": {"id": "n", "children": []}}]}}
+    comments = [{"kind": "t1", "data": {"id": "a", "replies": inner}}, more]
+    doc = json.dumps([{"kind": "Listing", "data": {"children": c}} for c in ([post], comments)])
+    got = nested.flat_objects(spark.createDataFrame([(1, doc)], "file_no long, doc string")).collect()
+    assert [(r["kind"], {k: json.loads(v) for k, v in r["lists"].items()}) for r in sorted(got, key=lambda r: r["obj"])] == [
+        ("post", {}), ("comment", {}), ("more", {"children": []}), ("more", {"children": ["x", "y"]}),
+    ]
+
+
 # 5 ---------------------------------------------------------------------------------------------------------------
 
 FILE = "file_no long, path string, subreddit string, post_id string, harvested_at timestamp_ntz, doc string"
