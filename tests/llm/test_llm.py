@@ -94,6 +94,14 @@ def test_segments_vote_down_to_the_least_cosine():
     assert vote[0] > 0 and near[0] == 0 and vote[1] == 0 and near[1] == -1
 
 
+def test_bounds_on_labelled_comments(spark):
+    comments = spark.range(14_000).selectExpr("string(id) id", "concat('texto ', id) body")
+    marks = comments.selectExpr("id", "if(int(id) % 2 = 0, 'abuse', 'none') content_flag")
+    taken = abuse.labelled_bodies(comments, marks)
+    assert Counter(y for *_, y in taken) == {1.0: 6000, 0.0: 6000}
+    assert Counter(y for *_, y in abuse.labelled_bodies(comments.where("int(id) < 11000"), marks.where("int(id) < 11000"))) == {1.0: 5500, 0.0: 5500}
+
+
 def test_abuse_frames(spark):
     comments = spark.createDataFrame([("a", "seu idiota", 1), ("b", "bom dia a todos", 1), ("c", None, 1), ("d", "", 1), ("e", "seu idiota", 2), ("f", "seu idiota mesmo", 3)], "id string, body string, score long")
     marks = spark.createDataFrame([("a", "abuse"), ("a", "abuse"), ("b", "none"), ("c", "hate"), ("x", None)], "id string, content_flag string")
