@@ -109,7 +109,7 @@ _NAME_GAP = re.compile(rf"(?:,? |\s+{_PARTICLE}\s+)(?=[^\W\d_])", re.I)
 _GIVEN = frozenset(GIVEN_NAMES)
 _ANY_CUE = {k: re.compile(rf"(?<![^\W_])(?:{v})(?![^\W_])" if k != "other" else rf"(?:{v})", re.I) for k, v in (("id", ID_CUES), ("phone", PHONE_CUES), ("other", OTHER_CUES), ("fiction", FICTION_CUES))}
 _HAS_EN_STREET = re.compile(r"\b(?:street|st|road|rd|lane|ln|avenue|ave|drive|dr|court|ct|boulevard|blvd|way|place|pl|terrace)\b", re.I)
-_STREET_HINTS = ("rua ", "r. ", "av", "trav", "tv.", "alameda", "al.", "estr", "rod", "pra", "largo", "calle", "c/", "plaza", "paseo")
+_STREET_HINTS = ("rua", "r.", "av", "trav", "tv.", "alameda", "al.", "estr", "rod", "pra", "largo", "calle", "c/", "plaza", "paseo")
 _NAME_HINTS = (
     "nome", "nombre", "name", "chamo", "llamo", "called", "atende", "atendi", "falar com", "fale com", "fala com", "falei com", "procur", "sr", "dona ", "do\u00f1a ", "dr", "mr", "ms", "prof",
     "ndic", "conhece", "conoce", "att", "assinado", "abra", "habl", "firmado", "saludos", "administrador", "vecin", "casero", "casera", "talk to", "speak ", "ask for", "landlord", "anyone met", "signed", "regards", "sincerely", "helped by", "served by",

@@ -152,6 +152,12 @@ def test_no_personal_information(text):
     assert pii.find_spans(text) == [] and pii.redact(text) == text
 
 
+@pytest.mark.parametrize("street", ["R.Augusta, 120", "Rua\tAugusta, 120", "Rua\nAugusta, 120"])
+def test_street_hints_hold_all_that_the_pattern_takes(street):
+    assert pii.STREET.search(street)
+    assert [s.kind for s in pii.find_spans(f"fica na {street}")] == ["address"]
+
+
 def test_checksums():
     assert pii.luhn_holds("4539578763621486") and not pii.luhn_holds("4539578763621487")
     assert pii.mod97_holds("GB82 WEST 1234 5698 7654 32") and not pii.mod97_holds("GB82 WEST 1234 5698 7654 33")
