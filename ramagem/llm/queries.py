@@ -19,11 +19,11 @@ def _title_texts(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "post_header").select(F.lit("post_header").alias("record"), bare_id(F.col("id")).alias("id"), F.col("title").alias("text"))
 
 
-def _scored(spark: SparkSession, folder: str, *extra: str) -> DataFrame:
+def _scored(spark: SparkSession, folder: str, *extra: str, exact: bool = False) -> DataFrame:
     comments = table(spark, folder, "comments").withColumn("id", bare_id(F.col("id")))
     marks = table(spark, folder, "message_annotation").select(bare_id(F.col("id")).alias("id"), "content_flag")
     model = abuse.learn(comments.select("id", "body"), marks)
-    return abuse.scored(comments.select("id", "body", *extra), model, extra)
+    return abuse.scored(comments.select("id", "body", *extra), model, extra, exact)
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -33,7 +33,7 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 def p6_scores(spark: SparkSession, folder: str) -> DataFrame:
     """One row per message: the score, the worst segment and the nearest flagged example."""
     best = F.max_by(F.struct("score", "segment", "example"), F.struct("score", "segment"))
-    return _scored(spark, folder).groupBy("id").agg(best.alias("s")).select("id", F.round("s.score", 6).alias("score"), "s.segment", "s.example")
+    return _scored(spark, folder, exact=True).groupBy("id").agg(best.alias("s")).select("id", F.round("s.score", 6).alias("score"), "s.segment", "s.example")
 
 
 def p6_rates(spark: SparkSession, folder: str) -> DataFrame:
