@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import math
 
+#: Half the width of a 95 % interval of the standard normal distribution.
+NORMAL_95 = 1.959963984540054
+
 
 def gamma_upper(a: float, x: float) -> float:
     """Regularised upper incomplete gamma Q(a, x)."""

@@ -20,7 +20,7 @@ from ramagem.sources import shared
 #: Width of a bucket in seconds (about a month) and the bucket of events without a time.
 BUCKET_SECONDS = 30 * 86_400
 NO_TIME = -(2**40)
-STORE_FORMAT = 1
+STORE_FORMAT = 2
 
 
 def bucket_of(ts: Column, width: int) -> Column:
@@ -28,12 +28,13 @@ def bucket_of(ts: Column, width: int) -> Column:
 
 
 def one_per_message(events: DataFrame) -> DataFrame:
-    """Drop repeat deliveries: of each message the last to arrive; ties go to the larger score. Rows without id stay."""
+    """Drop repeat deliveries: of each message the last to arrive, whatever its time; ties go to the larger score, then the
+    later time, then the type. Rows without id stay."""
     newest = F.max_by(
-        F.struct("entity", "type", "ts", "score"),
-        F.struct("arrived", F.coalesce("score", F.lit(-(2**62))), F.coalesce("type", F.lit(""))),
+        F.struct("bucket", "entity", "type", "ts", "score"),
+        F.struct("arrived", F.coalesce("score", F.lit(-(2**62))), F.coalesce("ts", F.lit(float("-inf"))), F.coalesce("type", F.lit(""))),
     )
-    kept = events.where("message is not null").groupBy("message", "bucket").agg(newest.alias("e")).select("bucket", "e.*")
+    kept = events.where("message is not null").groupBy("message").agg(newest.alias("e")).select("e.*")
     return kept.unionByName(events.where("message is null").select("bucket", "entity", "type", "ts", "score"))
 
 
@@ -71,10 +72,14 @@ class BucketStore:
     def _manifest_path(self) -> str:
         return f"{self.path}/manifest.json"
 
-    def manifest(self) -> dict[str, dict[str, str]]:
+    def _load(self) -> dict:
         text = shared.read_text(self.spark, self._manifest_path)
         held = json.loads(text) if text else {}
-        return held.get("buckets", {}) if held.get("format") == STORE_FORMAT and held.get("width") == self.width else {}
+        return held if held.get("format") == STORE_FORMAT and held.get("width") == self.width else {}
+
+    def manifest(self) -> dict[str, dict]:
+        """By bucket: its fingerprint, the version that holds it, and the buckets with other deliveries of its messages."""
+        return self._load().get("buckets", {})
 
     def _bucketed(self, source: DataFrame) -> DataFrame:
         return source.select(*self.COLUMNS).withColumn("bucket", bucket_of(F.col("ts"), self.width))
@@ -90,22 +95,49 @@ class BucketStore:
             F.bit_xor(row).alias("xor"),
         )
         now = {str(r["bucket"]): f"{r['n']}:{r['sum']}:{r['xor']}" for r in prints.collect()}
-        held = self.manifest()
-        changed = sorted(int(b) for b, p in now.items() if held.get(b, {}).get("print") != p)
-        done = Refresh(changed, sorted(int(b) for b in now if int(b) not in set(changed)), sorted(int(b) for b in held if b not in now))
-        if changed or done.removed or not held:
-            version = f"v={uuid.uuid4().hex[:12]}"
-            if changed:
-                part = events if len(changed) == len(now) else events.where(F.col("bucket").isin(changed))
-                rows = _partials(one_per_message(part), "bucket", "entity", "type")
-                rows.withColumn("at", F.col("bucket")).write.partitionBy("at").parquet(f"{self.path}/{version}")
-            buckets = {b: ({"print": p, "in": version} if int(b) in set(changed) else held[b]) for b, p in now.items()}
-            shared.make_folder(self.spark, self.path)
-            shared.publish_text(self.spark, self._manifest_path, json.dumps({"format": STORE_FORMAT, "width": self.width, "buckets": buckets}))
-            live = {b["in"] for b in buckets.values()}
-            for gone in {b["in"] for b in held.values()} - live:
-                shared.delete(self.spark, f"{self.path}/{gone}")
-        return done
+        before = self._load()
+        held = before.get("buckets", {})
+        fresh = {int(b) for b, p in now.items() if held.get(b, {}).get("print") != p}
+        removed = {int(b) for b in held if b not in now}
+        if not fresh and not removed and before:
+            return Refresh([], sorted(map(int, now)), [])
+        # a message delivered again in another bucket counts in one of them only: those that share messages go together
+        links = {int(b): set(map(int, held[b]["links"])) - removed for b in held if int(b) not in fresh | removed}
+        for b in fresh:
+            links[b] = set()
+        for r in self._shared(events, fresh, len(fresh) == len(now)).collect():  # pairs of buckets
+            links[r["a"]].add(r["b"])
+        touched = set(fresh).union(*(links[b] for b in fresh), *(map(int, held[str(b)]["links"]) for b in (fresh | removed) if str(b) in held)) & set(map(int, now))
+        for b in links:
+            links[b] = {x for x in links[b] if x not in fresh or b in links[x]}
+        version = f"v={uuid.uuid4().hex[:12]}"
+        if touched:
+            part = self._with_links(events, touched, links, len(now))
+            rows = _partials(one_per_message(part).where(F.col("bucket").isin(sorted(touched))), "bucket", "entity", "type")
+            rows.withColumn("at", F.col("bucket")).write.partitionBy("at").parquet(f"{self.path}/{version}")
+        buckets = {b: {"print": p, "in": version if int(b) in touched else held[b]["in"], "links": sorted(links[int(b)])} for b, p in now.items()}
+        retired = {b["in"] for b in held.values()} - {b["in"] for b in buckets.values()}
+        shared.make_folder(self.spark, self.path)
+        shared.publish_text(self.spark, self._manifest_path, json.dumps({"format": STORE_FORMAT, "width": self.width, "buckets": buckets, "retired": sorted(retired)}))
+        # frames made before this refresh may still be read until the next one
+        for gone in before.get("retired", []):
+            shared.delete(self.spark, f"{self.path}/{gone}")
+        return Refresh(sorted(touched), sorted(int(b) for b in now if int(b) not in touched), sorted(removed))
+
+    @staticmethod
+    def _shared(events: DataFrame, fresh: set[int], every: bool) -> DataFrame:
+        """(a, b): pairs of buckets that hold deliveries of one message, one of them fresh."""
+        named = events.where("message is not null").select("message", "bucket")
+        if not every:
+            named = named.join(named.where(F.col("bucket").isin(sorted(fresh))).select("message").distinct(), "message", "left_semi")
+        spread = named.groupBy("message").agg(F.sort_array(F.collect_set("bucket")).alias("at")).where("size(at) > 1")
+        return spread.select("at").distinct().select(F.explode("at").alias("a"), "at").select("a", F.explode("at").alias("b")).where("a <> b").distinct()
+
+    @staticmethod
+    def _with_links(events: DataFrame, buckets: set[int], links: dict[int, set[int]], known: int) -> DataFrame:
+        """The events of some buckets and of those that share messages with them."""
+        wide = set(buckets).union(*(links.get(b, set()) for b in buckets))
+        return events if len(wide) == known else events.where(F.col("bucket").isin(sorted(wide)))
 
     def partials(self, first: int | None = None, last: int | None = None, timeless: bool = True) -> DataFrame:
         """Stored rows of the buckets first..last (both included)."""
@@ -140,12 +172,14 @@ class BucketStore:
             if cut:
                 if source is None:
                     raise ValueError("a window that cuts buckets needs the source for its boundary events")
-                edge = self._bucketed(source).where(F.col("bucket").isin(sorted(cut)))
+                held = self.manifest()
+                links = {int(b): set(map(int, at["links"])) for b, at in held.items()}
+                edge = one_per_message(self._with_links(self._bucketed(source), cut, links, len(held))).where(F.col("bucket").isin(sorted(cut)))
                 if start is not None:
                     edge = edge.where(F.col("ts") >= start)
                 if end is not None:
                     edge = edge.where(F.col("ts") < end)
-                parts = parts.unionByName(_partials(one_per_message(edge), "bucket", "entity", "type"))
+                parts = parts.unionByName(_partials(edge, "bucket", "entity", "type"))
         return parts.groupBy("entity", "type").agg(
             F.sum("n").alias("n"), F.sum("total").alias("total"), F.max("last_ts").alias("last_ts")
         )

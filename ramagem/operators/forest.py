@@ -28,11 +28,6 @@ def cascade_nodes(messages: DataFrame) -> DataFrame:
     return cut_lineage(placed.join(messages.where("type = 'comment'"), "id"))
 
 
-def closure(nodes: DataFrame) -> DataFrame:
-    """(cascade_id, ancestor, id, a_dist): every comment with every comment at or above it in its cascade."""
-    return nodes.select("cascade_id", "id", F.posexplode("path").alias("a_dist", "ancestor"))
-
-
 def structure(nodes: DataFrame) -> DataFrame:
     """Size, depth and breadth of every cascade; the root has distance 0."""
     levels = nodes.groupBy("cascade_id", "dist").agg(F.count(F.lit(1)).alias("n"))
@@ -41,26 +36,69 @@ def structure(nodes: DataFrame) -> DataFrame:
     )
 
 
+#: Ancestor pairs are listed only where paths hold fewer nodes on the average than this times the rounds of doubling.
+PAIRS_PER_ROUND = 2.0
+
+
+def _depths(nodes: DataFrame) -> tuple[int, float]:
+    """Nodes on the longest path, and on the average one."""
+    row = nodes.agg(F.max(F.size("path")).alias("most"), F.avg(F.size("path")).alias("mean")).first()
+    return row["most"] or 0, row["mean"] or 0.0
+
+
+def subtree_sizes(nodes: DataFrame) -> DataFrame:
+    """(cascade_id, id, s): how many nodes hang below each, itself included; from (cascade_id, id, path).
+
+    Short paths are counted node by node. Else in rounds: what hangs less than 2^k links below a node is known, and what
+    hangs less than 2^(k+1) below follows from the nodes that lie exactly 2^k below, found by their paths. So the rows of a
+    round are those of the nodes, and the rounds the logarithm of the depth, also for one long chain.
+    """
+    most, mean = _depths(nodes)
+    rounds = max(most - 1, 0).bit_length()
+    if mean <= PAIRS_PER_ROUND * rounds:
+        return nodes.select("cascade_id", F.explode("path").alias("id")).groupBy("cascade_id", "id").agg(F.count(F.lit(1)).alias("s"))
+    above = [F.when(F.size("path") > (1 << k), F.element_at("path", -1 - (1 << k))).alias(f"p{k}") for k in range(rounds)]
+    sizes = cut_lineage(nodes.select("cascade_id", "id", F.lit(1).cast("long").alias("s"), *above))
+    for k in range(rounds):
+        gained = sizes.where(F.col(f"p{k}").isNotNull()).groupBy(F.col(f"p{k}").alias("id")).agg(F.sum("s").alias("more"))
+        rest = [f"p{j}" for j in range(k + 1, rounds)]
+        sizes = cut_lineage(sizes.join(gained, "id", "left").select("cascade_id", "id", (F.col("s") + F.coalesce("more", F.lit(0))).alias("s"), *rest))
+    return sizes
+
+
 def virality(nodes: DataFrame) -> DataFrame:
     """Wiener index over n (n - 1), by subtree sizes: each link is crossed by s (n - s) pairs. Also the mean distance, twice that."""
-    sizes = closure(nodes).groupBy("cascade_id", F.col("ancestor").alias("id")).agg(F.count(F.lit(1)).alias("s"), F.min("a_dist").alias("d"))
     n = F.max("s")
-    crossing = sizes.groupBy("cascade_id").agg(n.alias("n"), F.sum("s").alias("s1"), F.sum(F.col("s") * F.col("s")).alias("s2"))
+    crossing = subtree_sizes(nodes).groupBy("cascade_id").agg(n.alias("n"), F.sum("s").alias("s1"), F.sum(F.col("s") * F.col("s")).alias("s2"))
     wiener = F.col("s1") * F.col("n") - F.col("s2")  # the root adds n * n - n * n = 0
     value = F.when(F.col("n") > 1, wiener / (F.col("n") * (F.col("n") - 1))).otherwise(1.0)
     return crossing.select("cascade_id", wiener.alias("wiener"), value.alias("structural_virality"), (value * 2).alias("mean_distance"))
 
 
+def negative_runs(nodes: DataFrame) -> DataFrame:
+    """(cascade_id, run) of every negative node: how many negative labels follow each other up its path, itself included.
+
+    In rounds: a run that fills the 2^k nodes looked at so far goes on with that of the node 2^k above. Only such rows are
+    looked at again, so that the rounds are the logarithm of the longest run.
+    """
+    runs = cut_lineage(nodes.where("label = 'NEGATIVE'").select("cascade_id", "id", "path", F.lit(1).alias("run")))
+    span = 1
+    while True:
+        filled = (F.col("run") == span) & (F.size("path") > span)
+        going = runs.where(filled).withColumn("above", F.element_at("path", -1 - span))
+        if going.isEmpty():
+            return runs.select("cascade_id", "run")
+        up = runs.select(F.col("id").alias("above"), F.col("run").alias("more"))
+        longer = going.join(up, "above", "left").select("cascade_id", "id", "path", (F.col("run") + F.coalesce("more", F.lit(0))).alias("run"))
+        runs = cut_lineage(runs.where(~filled).unionByName(longer))
+        span *= 2
+
+
 def longest_negative_run(nodes: DataFrame) -> DataFrame:
     """Longest run of negative labels down any path, and its ratio to all negatives (0 without any)."""
-    up = closure(nodes)
-    others = nodes.where("coalesce(label, '') <> 'NEGATIVE'").select(F.col("id").alias("ancestor"))
-    broken = up.join(others, "ancestor").groupBy("id").agg(F.max("a_dist").alias("stop"))
-    runs = nodes.join(broken, "id", "left").select("cascade_id", "label", (F.col("dist") - F.coalesce("stop", F.lit(-1))).alias("run"))
-    negatives = F.count_if(F.col("label") == "NEGATIVE")
-    return runs.groupBy("cascade_id").agg(
-        F.max("run").cast("long").alias("longest_neg_run"), F.when(negatives > 0, F.max("run") / negatives).otherwise(0.0).alias("longest_neg_run_ratio")
-    )
+    run = negative_runs(nodes).groupBy("cascade_id").agg(F.max("run").cast("long").alias("run"), F.count(F.lit(1)).alias("negatives"))
+    every = nodes.select("cascade_id").distinct().join(run, "cascade_id", "left")
+    return every.select("cascade_id", F.coalesce("run", F.lit(0)).cast("long").alias("longest_neg_run"), F.coalesce(F.col("run") / F.col("negatives"), F.lit(0.0)).alias("longest_neg_run_ratio"))
 
 
 def interaction_edges(nodes: DataFrame) -> DataFrame:
@@ -90,8 +128,8 @@ def basics(nodes: DataFrame) -> DataFrame:
     stamp = F.nullif(F.col("timestamp"), F.lit(0.0))
     pos, neu, neg = (count(x) for x in VALID_LABELS)
     return nodes.groupBy("cascade_id").agg(
-        F.first("subreddit").alias("subreddit"),
-        F.first("category").alias("category"),
+        F.min_by("subreddit", "dist").alias("subreddit"),  # that of the root
+        F.min_by("category", "dist").alias("category"),
         F.greatest(F.count_distinct(user), F.lit(1)).alias("unique_users"),
         F.avg(F.coalesce("score", F.lit(0))).alias("average_score"),
         F.when(F.count(stamp) >= 2, (F.max(stamp) - F.min(stamp)) / 60.0).otherwise(0.0).alias("duration_minutes"),

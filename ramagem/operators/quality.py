@@ -19,21 +19,36 @@ def anonymize(messages: DataFrame, salt: str, column: str = "author") -> DataFra
     return messages.withColumn(column, author_hash(F.col(column), salt))
 
 
-def validate_anonymization(before: DataFrame, after: DataFrame, key: str = "id", column: str = "author") -> DataFrame:
-    """(check, passed, detail) over all rows: counts, fields, ids, unchanged fields, hash form and collisions."""
+def validate_anonymization(before: DataFrame, after: DataFrame, key: str = "id", column: str = "author", kind: str = "type") -> DataFrame:
+    """(check, passed, detail) over all rows: counts in all and by type, fields, ids, unchanged fields, hash form, collisions.
+
+    Rows are compared as bags: sums of two independent hashes and the count, so that equal rows don't cancel out. The share
+    of rows of the original whose other fields are found again, with their multiplicity, is told as field match.
+    """
     spark = before.sparkSession
-    same_fields = before.columns == after.columns
     rest = [c for c in before.columns if c != column]
-    a = before.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(column).alias("authors"), F.bit_xor(F.xxhash64(*rest)).alias("rest"), F.bit_xor(F.xxhash64(key)).alias("ids")).first()
+    found = [c for c in rest if c in after.columns]
+    wide = lambda *c: F.sum(F.xxhash64(*c).cast("decimal(38,0)"))
+    bag = lambda *c: F.concat_ws(":", wide(*c).cast("string"), F.sum(F.hash(*c).cast("decimal(38,0)")).cast("string"))
     hashed = F.col(column).isNull() | F.col(column).isin(*KEPT_AUTHORS) | F.col(column).rlike("^[0-9a-f]{64}$")
-    b = after.agg(
-        F.count(F.lit(1)).alias("rows"), F.count_distinct(column).alias("authors"), F.bit_xor(F.xxhash64(*rest)).alias("rest"), F.bit_xor(F.xxhash64(key)).alias("ids"), F.count_if(~hashed).alias("odd")
+    figures = lambda df: df.agg(
+        F.count(F.lit(1)).alias("rows"), F.count_distinct(column).alias("authors"), bag(*found).alias("rest"), bag(key).alias("ids"), F.count_if(~hashed).alias("odd")
     ).first()
+    a, b = figures(before), figures(after)
+    kinds = lambda df: {r[0]: r[1] for r in df.groupBy(kind).count().collect()} if kind in df.columns else {}  # a few types
+    ka, kb = kinds(before), kinds(after)
+    same = a["rest"] == b["rest"] and found == rest
+    matched = a["rows"]
+    if not same and a["rows"]:
+        count = lambda df, name: df.groupBy(F.xxhash64(*found).alias("h")).agg(F.count(F.lit(1)).alias(name))
+        matched = count(before, "n").join(count(after, "m"), "h").agg(F.sum(F.least("n", "m"))).first()[0] or 0
     rows = [
         ("row count", a["rows"] == b["rows"], f"{a['rows']} and {b['rows']}"),
-        ("fields", same_fields, ", ".join(sorted(set(before.columns) ^ set(after.columns)))),
+        ("rows by type", ka == kb, ", ".join(f"{k}: {ka.get(k, 0)} and {kb.get(k, 0)}" for k in sorted({*ka, *kb}, key=str) if ka.get(k) != kb.get(k))),
+        ("fields", before.columns == after.columns, ", ".join(sorted(set(before.columns) ^ set(after.columns)))),
         ("ids", a["ids"] == b["ids"], ""),
-        ("other fields", a["rest"] == b["rest"], ""),
+        ("other fields", same, ""),
+        ("field match", matched == a["rows"], f"{matched} of {a['rows']}"),
         ("hash form", b["odd"] == 0, str(b["odd"])),
         ("no collisions", a["authors"] == b["authors"], f"{a['authors']} and {b['authors']}"),
     ]

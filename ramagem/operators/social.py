@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ramagem.functions.bins import quartile
 from ramagem.functions.keys import DELETED_MARKERS, VALID_LABELS
+from ramagem.operators.stats import quantiles, running
 from ramagem.session import with_scalars
 
 # Accounts left out, by the kind of analysis.
@@ -81,14 +82,11 @@ def stays(messages: DataFrame, names: Sequence[str] = SURVIVAL_ACCOUNTS, least:
     Positions are by time, then id. event: the thread went on for at least `gap` messages after the user's last.
     """
     used = drop_accounts(messages, names, any_case=True).where("timestamp is not null and thread is not null")
-    order = Window.partitionBy("thread").orderBy("timestamp", "id")
-    seen = used.select(
-        "thread",
-        "author",
-        F.row_number().over(order).alias("at"),
-        F.sum(F.when(F.col("label") == "NEGATIVE", 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("neg"),
-        F.count(F.lit(1)).over(Window.partitionBy("thread")).alias("steps"),
-    ).where(F.col("steps") >= least)
+    narrow = used.select("thread", "author", "timestamp", "id", "label")
+    negative = F.when(F.col("label") == "NEGATIVE", 1).otherwise(0)
+    steps = narrow.groupBy("thread").agg(F.count(F.lit(1)).alias("steps")).where(F.col("steps") >= least)
+    # a thread may hold a large part of all messages: positions come from ranges of (thread, time), not from one task
+    seen = running(narrow, ["thread"], ["timestamp", "id"], {"at": F.lit(1), "neg": negative}).join(steps, "thread")
     spans = seen.groupBy("thread", "author").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.min("neg").alias("neg_first"), F.max("neg").alias("neg_last"), F.first("steps").alias("steps"))
     duration = F.col("last") - F.col("first") + 1
     return spans.where(duration > 1).select(
@@ -114,7 +112,7 @@ def churn(messages: DataFrame, names: Sequence[str] = SURVIVAL_ACCOUNTS, least:
         (F.col("neg") / F.col("total_msgs")).alias("neg_ratio"),
         "total_msgs",
     )
-    cuts = rows.agg(F.percentile("neg_ratio", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("cuts"))
+    cuts = quantiles(rows, None, "neg_ratio", {"c1": 0.25, "c2": 0.5, "c3": 0.75}).drop("g")
     value = F.col("neg_ratio")
-    kind = F.when(value <= F.col("cuts")[0], "UQ1").when(value <= F.col("cuts")[1], "UQ2").when(value <= F.col("cuts")[2], "UQ3").otherwise("UQ4")
+    kind = F.when(value <= F.col("c1"), "UQ1").when(value <= F.col("c2"), "UQ2").when(value <= F.col("c3"), "UQ3").otherwise("UQ4")
     return with_scalars(rows, cuts).select(*rows.columns, kind.alias("user_quartile"))

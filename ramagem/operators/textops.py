@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ramagem.operators.stats import quantiles
 from ramagem.session import with_scalars
 # Fixed word lists: words without content in Portuguese, Spanish and English, and words of the medium.
 STOPWORDS = {
@@ -53,8 +54,9 @@ def term_valence(terms: DataFrame, group: str, g1: str, g2: str, stop: DataFrame
         .where((F.col("df") >= least_documents) & F.length("term").between(3, 16))
         .join(F.broadcast(stop), "term", "left_anti")
     )
-    totals = counted.agg(F.sum("c1").alias("t1"), F.sum("c2").alias("t2"), F.percentile(F.col("c1") + F.col("c2"), percentile).alias("cut"))
-    joined = with_scalars(counted, totals)
+    totals = counted.agg(F.sum("c1").alias("t1"), F.sum("c2").alias("t2"), F.count(F.lit(1)).alias("terms"))
+    cut = quantiles(counted.withColumn("c", F.col("c1") + F.col("c2")), None, "c", {"cut": percentile}).drop("g")
+    joined = with_scalars(with_scalars(counted, totals), cut)
     f1, f2 = F.col("c1") / F.nullif("t1", F.lit(0)), F.col("c2") / F.nullif("t2", F.lit(0))
     f1, f2 = F.coalesce(f1, F.lit(0.0)), F.coalesce(f2, F.lit(0.0))
     return joined.where(F.col("c1") + F.col("c2") >= F.col("cut")).select("term", (2 * f2 / (f1 + f2) - 1).alias("valence"), (F.col("c1") + F.col("c2")).alias("total"))
@@ -77,6 +79,19 @@ def is_junk_term(term: Column) -> Column:
     return (F.length(term) < 3) | term.rlike(r"^\d+$") | term.rlike(r"(.)\1{4,}")
 
 
+def class_terms(terms: DataFrame, group: str, stop: DataFrame, k: int) -> DataFrame:
+    """(group, term, n, weight): the k terms that tell each class from the others, ties by term; junk and stop words left out.
+
+    The weight is a term's count in its class times ln(1 + mean number of terms of a class / count of the term in all).
+    """
+    counted = terms.where(~is_junk_term(F.col("term"))).join(F.broadcast(stop), "term", "left_anti").groupBy(group, "term").agg(F.sum("n").alias("n"))
+    every = counted.groupBy("term").agg(F.sum("n").alias("f"))
+    mean = counted.agg((F.sum("n") / F.count_distinct(group)).alias("mean"))
+    weighed = with_scalars(counted.join(every, "term"), mean).withColumn("weight", F.col("n") * F.ln(1 + F.col("mean") / F.col("f")))
+    order = Window.partitionBy(group).orderBy(F.desc("weight"), "term")  # Spark keeps only the first k of each task before it shuffles
+    return weighed.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).select(group, "term", "n", "weight")
+
+
 def parse_lexicon(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(category_id, category) and (term, wildcard, category_id) from rows (n, line) of a two-section text fenced by % lines.
 
@@ -111,12 +126,15 @@ def match_lexicon(words: DataFrame, lexicon: DataFrame) -> DataFrame:
 
 
 def lexicon_rates(documents: DataFrame, key: str, text: str, lexicon: DataFrame, concepts: list[str]) -> DataFrame:
-    """(key, one column per concept): percent of a document's tokens in each concept's category; 0 for empty texts."""
+    """(key, one column per concept): percent of a document's tokens in each concept's category; 0 for empty texts.
+
+    Texts with the same key count as one.
+    """
     counted = documents.select(key, F.explode(all_tokens(F.coalesce(F.col(text), F.lit("")))).alias("token")).groupBy(key, "token").agg(F.count(F.lit(1)).alias("n"))
     matched = match_lexicon(counted.select("token").distinct(), lexicon)
     totals = counted.groupBy(key).agg(F.sum("n").alias("tokens"))
     hits = counted.join(matched, "token").groupBy(key).pivot("category", concepts).agg(F.sum("n"))
-    joined = documents.select(key).join(totals, key, "left").join(hits, key, "left")
+    joined = documents.select(key).distinct().join(totals, key, "left").join(hits, key, "left")
     return joined.select(key, *[(F.coalesce(F.col(c), F.lit(0)) * 100.0 / F.coalesce("tokens", F.lit(1))).alias(c) for c in concepts])
 
 

@@ -101,13 +101,18 @@ def cascade_quartiles(spark, folder):
     return social.quartile_table(_features(spark, folder), "quartile", "perc_negative").select("quartile", "n", F.round("lowest", 6).alias("lowest"), F.round("highest", 6).alias("highest"))
 
 
+DESCRIBED = ("structural_virality", "cascade_size", "max_depth")
+
+
 def quartile_descriptives(spark, folder):
     f = _features(spark, folder)
     total = f.agg(F.count(F.lit(1)).alias("all"))
     d = f.where("quartile is not null").groupBy("quartile").agg(
         F.count(F.lit(1)).alias("n"),
-        *[F.round(fn(c), 6).alias(f"{name}_{c}") for c in ("structural_virality", "cascade_size", "max_depth") for name, fn in (("mean", F.avg), ("median", F.median), ("std", F.stddev_samp))],
+        *[F.round(fn(c), 6).alias(f"{name}_{c}") for c in DESCRIBED for name, fn in (("mean", F.avg), ("std", F.stddev_samp))],
     )
+    for c in DESCRIBED:
+        d = d.join(stats.quantiles(f, "quartile", c, {"m": 0.5}).select(F.col("g").alias("quartile"), F.round("m", 6).alias(f"median_{c}")), "quartile", "left")
     return with_scalars(d, total).withColumn("share", F.round(F.col("n") / F.col("all") * 100, 6)).drop("all")
 
 
@@ -130,17 +135,23 @@ def motif_heatmap(spark, folder):
 
 
 def taxonomy(spark, folder):
-    return _features(spark, folder).groupBy("subreddit", "category").agg(
-        F.round(F.median("structural_virality"), 6).alias("median_virality"), F.round(F.avg("perc_negative"), 6).alias("mean_negativity")
-    )
+    f = _features(spark, folder).withColumn("place", F.to_json(F.struct("subreddit", "category")))
+    median = stats.quantiles(f, "place", "structural_virality", {"m": 0.5}).select(F.col("g").alias("place"), F.round("m", 6).alias("median_virality"))
+    mean = f.groupBy("place", "subreddit", "category").agg(F.round(F.avg("perc_negative"), 6).alias("mean_negativity"))
+    return mean.join(median, "place").select("subreddit", "category", "median_virality", "mean_negativity")
 
 
 def triad_heatmap(spark, folder):
     t = motifs.sentiment_triads(_nodes(spark, folder))
-    names = spark.createDataFrame(list(motifs.NAMED_TRIADS.items()), "triad string, name string")
-    total = t.join(F.broadcast(names), "triad").agg(F.sum("n").alias("all"))
-    wide = t.join(F.broadcast(names), "triad").groupBy("triad", "name").pivot("category", [f"cat{i}" for i in range(4)]).agg(F.sum("n")).na.fill(0)
-    return with_scalars(wide, total).select("triad", "name", *[F.round(F.col(f"cat{i}") / F.col("all") * 100, 6).alias(f"cat{i}") for i in range(4)])
+    return _triad_shares(spark, t, [f"cat{i}" for i in range(4)])
+
+
+def _triad_shares(spark, triads, groups, group="category"):
+    """Percent of all named triples, by name and group."""
+    names = spark.createDataFrame([(motifs.code_of(a) + motifs.code_of(b) + motifs.code_of(c), name) for a, b, c, name in motifs.NAMED_TRIADS], "triad string, name string")
+    named = triads.join(F.broadcast(names), "triad")  # twelve names
+    wide = named.groupBy("triad", "name").pivot(group, groups).agg(F.sum("n")).na.fill(0)
+    return with_scalars(wide, named.agg(F.sum("n").alias("all"))).select("triad", "name", *[F.round(F.col(f"`{g}`") / F.col("all") * 100, 6).alias(g) for g in groups])
 
 
 def sentiment_triples(spark, folder):
@@ -158,7 +169,9 @@ def trendline_dominant(spark, folder):
 
 
 def trendline_taxonomy(spark, folder):
-    by = _features(spark, folder).groupBy("subreddit").agg(F.median("structural_virality").alias("x"), F.avg("perc_negative").alias("y"))
+    f = _features(spark, folder)
+    median = stats.quantiles(f, "subreddit", "structural_virality", {"x": 0.5}).withColumnRenamed("g", "subreddit")
+    by = f.groupBy("subreddit").agg(F.avg("perc_negative").alias("y")).join(median, "subreddit")
     return stats.trendline(by, "x", "y").select("n", *[F.round(c, 6).alias(c) for c in ("slope", "intercept", "r2")])
 
 
@@ -244,7 +257,7 @@ def survival_rows(spark, folder):
 
 def km_curve(spark, folder):
     s = held(spark, folder, "stays", lambda: social.stays(_messages(spark, folder)))
-    cut = s.agg(F.percentile("exposure_ratio", 0.75).alias("cut"))
+    cut = stats.quantiles(s, None, "exposure_ratio", {"cut": 0.75}).drop("g")
     split = with_scalars(s, cut).withColumn("exposure", F.when(F.col("exposure_ratio") >= F.col("cut"), "high").otherwise("low"))
     k = stats.kaplan_meier(split, "exposure", "duration", "event")
     return k.select(F.col("g").alias("exposure"), "t", "at_risk", "events", F.round("survival", 9).alias("survival"))
@@ -340,7 +353,7 @@ _F = (
     + _V
     + _E
     + """,
-ba AS (SELECT cascade_id, any_value(subreddit) AS subreddit, any_value(category) AS category, greatest(count(DISTINCT author), 1) AS unique_users, avg(score) AS average_score,
+ba AS (SELECT cascade_id, max(subreddit) FILTER (dist = 0) AS subreddit, max(category) FILTER (dist = 0) AS category, greatest(count(DISTINCT author), 1) AS unique_users, avg(score) AS average_score,
        CASE WHEN count(*) >= 2 THEN (max(stamp) - min(stamp)) / 60.0 ELSE 0.0 END AS duration_minutes, count(*) FILTER (label <> 'REMOVED_BY_MOD') AS n_valid,
        count(*) FILTER (label = 'POSITIVE') AS pos, count(*) FILTER (label = 'NEUTRAL') AS neu, count(*) FILTER (label = 'NEGATIVE') AS neg FROM n GROUP BY 1),
 f AS (SELECT st.*, ba.subreddit, ba.category, unique_users, average_score, duration_minutes, neg * 100.0::DOUBLE / n_valid AS perc_negative, virality AS structural_virality, ratio AS longest_neg_run_ratio,
@@ -413,7 +426,9 @@ co AS (SELECT *, CASE label WHEN 'POSITIVE' THEN 'P' WHEN 'NEUTRAL' THEN 'U' WHE
 SELECT x.category, w.z || p.z || x.z AS triad, count(*) AS n FROM co x JOIN co p ON x.parent_id = p.id JOIN co w ON p.parent_id = w.id WHERE x.dist >= 2 AND w.z || p.z || x.z IS NOT NULL GROUP BY 1, 2""",
     "triad_heatmap": f"""{_W}{_C},
 co AS (SELECT *, CASE label WHEN 'POSITIVE' THEN 'P' WHEN 'NEUTRAL' THEN 'U' WHEN 'NEGATIVE' THEN 'N' END AS z FROM n),
-nm AS (SELECT * FROM (VALUES {", ".join(f"('{k}', '{v}')" for k, v in motifs.NAMED_TRIADS.items())}) v(triad, name)),
+nm AS (SELECT * FROM (VALUES ('NNN', 'Negative Persistence'), ('PPP', 'Positive Persistence'), ('PNN', 'Negative Convergence (from pos)'), ('UNN', 'Negative Convergence (from neu)'),
+       ('NPP', 'Positive Convergence (from neg)'), ('UPP', 'Positive Convergence (from neu)'), ('PPN', 'Shift (to neg)'), ('NNP', 'Shift (to pos)'), ('PNP', 'Oscillation (a)'), ('NPN', 'Oscillation (b)'),
+       ('PUN', 'Mixed Transition (to neg)'), ('NUP', 'Mixed Transition (to pos)')) v(triad, name)),
 tr AS (SELECT x.category, nm.triad, nm.name FROM co x JOIN co p ON x.parent_id = p.id JOIN co w ON p.parent_id = w.id JOIN nm ON nm.triad = w.z || p.z || x.z WHERE x.dist >= 2)
 SELECT triad, name, {", ".join(f"round(count(*) FILTER (category = 'cat{i}') * 100.0::DOUBLE / (SELECT count(*) FROM tr), 6) AS cat{i}" for i in range(4))} FROM tr GROUP BY 1, 2""",
     "ccdf_metrics": f"""{_W}{_F}, s AS (SELECT category, round(structural_virality, 9) AS virality, row_number() OVER (PARTITION BY category ORDER BY structural_virality) - 1 AS i, count(*) OVER (PARTITION BY category) AS k FROM g)

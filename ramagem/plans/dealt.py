@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ramagem.functions.keys import bare_id, label_key, subreddit_key, valid_time
-from ramagem.operators import balance, compact, features, hierarchy, nested
+from ramagem.operators import balance, compact, features, forest, hierarchy, nested
 from ramagem.session import scratch_path, shared_folder
 from ramagem.sources.tables import table
 
@@ -149,7 +149,8 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 def p3_paths(spark: SparkSession, folder: str) -> DataFrame:
     """Every comment with its path, true depth, root and number of descendants."""
     solved = hierarchy.cut_lineage(hierarchy.solve_links(_links(spark, folder), paths=True))
-    below = hierarchy.descendants(solved).groupBy(F.col("ancestor").alias("id")).agg(F.count(F.lit(1)).alias("n_descendants"))
+    placed = solved.where("path is not null").select(F.col("root").alias("cascade_id"), "id", "path")
+    below = forest.subtree_sizes(placed).select("id", (F.col("s") - 1).alias("n_descendants"))
     return solved.join(below, "id", "left").select(
         "id",
         F.array_join("path", "/").alias("path"),

@@ -17,8 +17,7 @@ from ramagem.streaming import resume
 
 SALT = "fixed-salt-for-comparison"
 #: An invented lexicon with an exact term and overlapping wildcards.
-LEXICON_TEXT = "%\n1\tanger\n2\tcertain\n3\tpower\n4\tsocial\n5\tplace\n%\nruim\t1\ndecep*\t1\nnada\t2\tnad*\nsempre\t2\nchef*\t3\nche*\t4\nprefeitura\t3\nminha\t4\nmeu\t4\nrua*\t5\nloja\t5\nbairro\t5\nbad\t1\nschool\t5\n"
-LEXICON_TEXT = LEXICON_TEXT.replace("nada\t2\tnad*\n", "nada\t2\n")
+LEXICON_TEXT = "%\n1\tanger\n2\tcertain\n3\tpower\n4\tsocial\n5\tplace\n%\nruim\t1\ndecep*\t1\nnada\t2\nsempre\t2\nchef*\t3\nche*\t4\nprefeitura\t3\nminha\t4\nmeu\t4\nrua*\t5\nloja\t5\nbairro\t5\nbad\t1\nschool\t5\n"
 CONCEPTS = ["anger", "certain", "power", "social", "place"]
 
 
@@ -74,7 +73,8 @@ def _links(column):
 
 def media_replaced(spark, folder):
     """Bodies with media links replaced by descriptions; without a describer all get the fallback."""
-    c = _comments(spark, folder).select(bare_id(F.col("id")).alias("id"), "body").where("body is not null").dropDuplicates(["id"])
+    c = _comments(spark, folder).select(bare_id(F.col("id")).alias("id"), "body", "harvested_at").where("body is not null")
+    c = c.groupBy("id").agg(F.max_by("body", F.struct("harvested_at", "body")).alias("body"))  # the last delivery
     with_links = c.withColumn("body", rewrite.rewrite_markup(F.col("body")))
     lookup = spark.createDataFrame([], "link string, text string")
     return rewrite.replace_links(with_links, rewrite.media_links(F.col("body")), lookup, "[CONTEUDO VISUAL: %s]", rewrite.MEDIA_FALLBACK)
@@ -218,24 +218,24 @@ def term_extremes(spark, folder):
     return textops.extreme_terms(v)
 
 
-def _lexicon(spark):
+def lexicon_terms(spark):
     lines = spark.createDataFrame(list(enumerate(LEXICON_TEXT.split("\n"))), "n int, line string")
     categories, terms = textops.parse_lexicon(lines)
     return terms.join(categories, "category_id").select("term", "wildcard", "category")
 
 
 def lexicon_load(spark, folder):
-    return _lexicon(spark)
+    return lexicon_terms(spark)
 
 
 def lexicon_match(spark, folder):
     words = table(spark, folder, "documents").select(F.explode(textops.tokens(F.col("text"))).alias("token")).distinct()
-    return textops.match_lexicon(words, _lexicon(spark))
+    return textops.match_lexicon(words, lexicon_terms(spark))
 
 
 def _rates(spark, folder):
     d = _usable(spark, folder).select(bare_id(F.col("id")).alias("id"), "body").groupBy("id").agg(F.min("body").alias("body"))
-    return held(spark, folder, "lexicon-rates", lambda: textops.lexicon_rates(d, "id", "body", _lexicon(spark), CONCEPTS))
+    return held(spark, folder, "lexicon-rates", lambda: textops.lexicon_rates(d, "id", "body", lexicon_terms(spark), CONCEPTS))
 
 
 def lexicon_rates(spark, folder):
@@ -318,12 +318,14 @@ def seeded_sample(spark, folder):
 
 
 def anonymize(spark, folder):
-    c = _comments(spark, folder).select(bare_id(F.col("id")).alias("id"), "author")
-    return quality.anonymize(c, SALT).distinct()
+    """Whole records, with every delivery."""
+    done = quality.anonymize(_comments(spark, folder), SALT)
+    flat = [c for c in done.columns if c not in ("ai_analysis", "harvested_at")]
+    return done.select(*flat, F.col("ai_analysis.label").alias("label"), F.col("ai_analysis.confidence").alias("confidence"), F.unix_micros(F.col("harvested_at").cast("timestamp")).alias("harvested_us"))
 
 
 def anon_validation(spark, folder):
-    c = _comments(spark, folder).select("id", "post_id", "author", "body")
+    c = _comments(spark, folder).select("type", "id", "post_id", "author", "body")
     return quality.validate_anonymization(c, quality.anonymize(c, SALT)).select("check", "passed")
 
 
@@ -462,8 +464,9 @@ SELECT quartile, term, n FROM (SELECT *, row_number() OVER (PARTITION BY quartil
     "agreement_by_quartile": "WITH " + _agree("coalesce(quartile, '(none)')"),
     "confidence_means": f"WITH {_PAIR}, p AS (SELECT human AS label, avg(confidence) AS m FROM pair WHERE human IS NOT NULL GROUP BY 1) SELECT label, round(m, 9) AS mean FROM p UNION ALL SELECT '(all)', round(avg(m), 9) FROM p",
     "annotation_merge": f"WITH {_MSG}, d AS (SELECT {_ID.format('id')} AS id, min(human_label) AS human_label FROM message_annotation GROUP BY 1) SELECT human_label, count(*) AS n FROM msg LEFT JOIN d USING (id) WHERE type = 'comment' GROUP BY 1",
-    "anonymize": f"SELECT DISTINCT {_ID.format('id')} AS id, CASE WHEN author IS NULL OR author IN ('[deleted]', '[removed]', 'deleted') THEN author ELSE sha256(author || '_{SALT}') END AS author FROM comments",
-    "anon_validation": "SELECT * FROM (VALUES ('row count', true), ('fields', true), ('ids', true), ('other fields', true), ('hash form', true), ('no collisions', true)) v(\"check\", passed)",
+    "anonymize": f"SELECT type, id, parent_id, post_id, subreddit, CASE WHEN author IS NULL OR author IN ('[deleted]', '[removed]', 'deleted') THEN author ELSE sha256(author || '_{SALT}') END AS author, \"timestamp\", body, "
+    "depth, metadata_score, is_valid_text, ai_analysis.label AS label, ai_analysis.confidence AS confidence, epoch_us(harvested_at) AS harvested_us FROM comments",
+    "anon_validation": "SELECT * FROM (VALUES ('row count', true), ('rows by type', true), ('fields', true), ('ids', true), ('other fields', true), ('field match', true), ('hash form', true), ('no collisions', true)) v(\"check\", passed)",
     "record_counts": f"WITH {_MSG} SELECT type, count(*) AS n FROM msg GROUP BY 1",
     "distinct_authors": "SELECT count(DISTINCT author) AS authors, count(DISTINCT author) AS hashes FROM comments",
 }

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ramagem.plans import cascades, dealt, records
+from ramagem.plans import cascades, dealt, discussion, records
 
-MODULES = (dealt, cascades, records)
+MODULES = (dealt, cascades, records, discussion)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -28,19 +28,29 @@ def write_jsonl(messages: DataFrame, path: str, mode: str = "append") -> None:
 
 def read_raw_posts(spark: SparkSession, path: str) -> DataFrame:
     """(file_no, path, doc) of JSON files below path; the number is a hash of the path."""
-    whole = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json*").text(path)
+    whole = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json*").text(path, wholetext=True)
     return whole.select(F.xxhash64("_metadata.file_path").alias("file_no"), F.col("_metadata.file_path").alias("path"), F.col("value").alias("doc"))
 
 
 def read_mixed(spark: SparkSession, path: str) -> DataFrame:
-    """Messages of a folder of JSON arrays, single objects and JSON Lines; each file is told by its first character."""
-    whole = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json*").text(path)
+    """Messages of a folder of JSON arrays, single objects (on one line or many) and JSON Lines.
+
+    Every file is read line by line; a line that isn't an object of its own marks its file as a document, and only such
+    files are then read whole, objects or arrays of objects. So a large JSON Lines file is never one row. A JSON Lines file
+    with a broken line counts as a document that can't be read as one; its good lines are kept.
+    """
     schema = MESSAGE_SCHEMA.replace(", _corrupt_record string", "")
-    text = F.trim("value")
-    arrays = whole.where(text.startswith("[")).select(F.explode(F.from_json("value", f"array<struct<{schema.replace(' ', ':').replace(',:', ',')}>>", {"mode": "PERMISSIVE"})).alias("m"))
-    lines = whole.where(~text.startswith("[")).select(F.explode(F.split("value", r"\r?\n")).alias("line")).where("trim(line) <> ''")
-    objects = lines.select(F.from_json("line", schema, {"mode": "PERMISSIVE"}).alias("m"))
-    return arrays.unionByName(objects).select("m.*").where(F.col("id").isNotNull() & ~F.coalesce(F.col("type") == FOOTER, F.lit(False)))
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json*")
+    lines = files.text(path).select(F.col("_metadata.file_path").alias("file"), "value").where("trim(value) <> ''")
+    told = lines.withColumn("m", F.from_json("value", schema, {"mode": "PERMISSIVE"})).withColumn("own", F.trim("value").startswith("{") & F.trim("value").endswith("}") & F.get_json_object("value", "$").isNotNull())
+    documents = told.where("not own").select("file").distinct()
+    whole = files.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value").join(documents, "file", "left_semi")
+    arrays = F.from_json(F.when(F.ltrim("value").startswith("["), F.col("value")), f"array<struct<{schema.replace(' ', ':').replace(',:', ',')}>>", {"mode": "PERMISSIVE"})
+    single = F.array(F.from_json("value", schema, {"mode": "PERMISSIVE"}))
+    read = F.get_json_object("value", "$").isNotNull()
+    parsed = whole.where(read).select("file", F.explode(F.when(F.ltrim("value").startswith("["), arrays).otherwise(single)).alias("m"))
+    loose = told.where("own").join(parsed.select("file").distinct(), "file", "left_anti").select("file", "m")
+    return loose.unionByName(parsed).select("m.*").where(F.col("id").isNotNull() & ~F.coalesce(F.col("type") == FOOTER, F.lit(False)))
 
 
 def unify(*frames: DataFrame) -> DataFrame:
@@ -62,14 +72,19 @@ def unprocessed(df: DataFrame, processed: DataFrame, key: str = "id") -> DataFra
 
 
 def cached_table(spark: SparkSession, path: str, build, needs: tuple[str, ...] = ()) -> DataFrame:
-    """A table kept as Parquet: read if complete (and with all needed columns), else built, written and read."""
-    if shared.exists(spark, f"{path}/_SUCCESS"):
-        held = spark.read.parquet(path)
+    """A table kept as Parquet: read if complete (and with all needed columns), else built, written and read.
+
+    A copy built for want of columns lies beside the first, under a number that goes up, and is found at the next call.
+    """
+    at, number = path, 0
+    while shared.exists(spark, f"{at}/_SUCCESS"):
+        held = spark.read.parquet(at)
         if set(needs) <= set(held.columns):
             return held
-        path = f"{path}-{len(held.columns)}"  # a frame can't overwrite what it is read from
-    build().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+        number += 1
+        at = f"{path}-{number}"  # a frame can't overwrite what it is read from
+    build().write.mode("overwrite").parquet(at)
+    return spark.read.parquet(at)
 
 
 MEDIA_PRIORITY = ("jpg", "png", "jpeg", "gif")
@@ -87,5 +102,5 @@ def media_files(spark: SparkSession, path: str) -> DataFrame:
 
 def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
     """(n, line) of a lexicon file, for parse_lexicon."""
-    whole = spark.read.option("wholetext", "true").text(path)
+    whole = spark.read.text(path, wholetext=True)
     return whole.select(F.posexplode(F.split("value", r"\r\n|\r|\n")).alias("n", "line"))

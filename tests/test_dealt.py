@@ -97,6 +97,27 @@ def test_features_follow_changes_and_cut_buckets(spark, tmp_path):
     assert len(wide) == len({e[1] for e in more}) and all([f["type"] or "" for f in r["features"]] == sorted(f["type"] or "" for f in r["features"]) for r in wide)
 
 
+def test_a_message_delivered_again_in_another_bucket_counts_once(spark, tmp_path):
+    store = features.BucketStore(spark, f"file://{tmp_path}/moved", width=300)
+    fill = [(f"f{i}", "b", "x|POS", i * 300.0 + 1, 1, i) for i in range(6)]
+    steps = [
+        [*fill, ("m", "a", "x|POS", 10.0, 3, 50)],
+        [*fill, ("m", "a", "x|POS", 10.0, 3, 50), ("m", "a", "x|POS", 1000.0, 6, 60)],  # moves to a later bucket
+        [*fill, ("m", "a", "x|POS", 10.0, 3, 50), ("m", "a", "x|POS", 1000.0, 6, 60), ("m", "a", "x|POS", None, 7, 70)],  # to the one without time
+        [*fill, ("m", "a", "x|POS", 10.0, 3, 50)],  # and back
+    ]
+    recomputed = []
+    for events in steps:
+        source = spark.createDataFrame(events, EVENT)
+        recomputed.append(store.refresh(source).recomputed)
+        whole = {(r["entity"], r["type"]): (r["n"], r["total"], r["last_ts"]) for r in store.by_type().collect()}
+        assert whole == brute_features(events)
+        window = {(r["entity"], r["type"]): (r["n"], r["total"], r["last_ts"]) for r in store.by_type(source, 5.0, 1400.0).collect()}
+        assert window == brute_features(events, 5.0, 1400.0)
+    assert recomputed[1] == [0, 3] and len(recomputed[0]) == 6
+    assert store.refresh(spark.createDataFrame(steps[-1], EVENT)).recomputed == []
+
+
 def test_features_of_nothing(spark, tmp_path):
     store = features.BucketStore(spark, f"file://{tmp_path}/none")
     store.refresh(spark.createDataFrame([], EVENT))

@@ -7,6 +7,7 @@ import json
 import math
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -238,6 +239,11 @@ def test_anonymisation(spark):
     authors = [r["author"] for r in done.orderBy("id").collect()]
     assert authors[0] == authors[1] and len(authors[0]) == 64 and authors[2:] == ["[deleted]", None]
     assert not all(r["passed"] for r in quality.validate_anonymization(m, done.withColumn("body", F.lit("x"))).collect())
+    # two equal rows replaced by two other equal rows
+    pairs = spark.createDataFrame([("1", "ana", "x"), ("1", "ana", "x"), ("2", "rui", "y")], "id string, author string, body string")
+    damaged = spark.createDataFrame([("1", "ana", "z"), ("1", "ana", "z"), ("2", "rui", "y")], "id string, author string, body string")
+    told = {r["check"]: (r["passed"], r["detail"]) for r in quality.validate_anonymization(pairs, quality.anonymize(damaged, "salt")).collect()}
+    assert not told["other fields"][0] and told["field match"] == (False, "1 of 3") and told["row count"][0] and told["ids"][0]
 
 
 def test_files_and_stream(spark, tmp_path):
@@ -245,7 +251,16 @@ def test_files_and_stream(spark, tmp_path):
     (tmp_path / "in" / "a.jsonl").write_text('{"type":"comment","id":"t1_a","timestamp":5,"ai_analysis":null}\nnot json\n{"type":"metadata_footer","total_records":2}\n{"type":"comment","body":"no id"}\n')
     (tmp_path / "in" / "b.json").write_text('[{"type":"comment","id":"b"},{"type":"comment","id":"t1_a"}]')
     assert {r["id"] for r in files.read_mixed(spark, str(tmp_path / "in")).collect()} == {"t1_a", "b"}
-    (tmp_path / "in" / "b.json").unlink()
+    (tmp_path / "in" / "d.json").write_text(json.dumps({"type": "comment", "id": "pretty", "body": "a\n{b"}, indent=2))
+    (tmp_path / "in" / "e.json").write_text(json.dumps([{"type": "comment", "id": "p1"}, {"type": "comment", "id": "p2"}], indent=1))
+    (tmp_path / "in" / "f.json").write_text('{"type":"comment","id":"one"}')
+    (tmp_path / "in" / "g.json").write_text("")
+    assert sorted(r["id"] for r in files.read_mixed(spark, str(tmp_path / "in")).collect()) == ["b", "one", "p1", "p2", "pretty", "t1_a", "t1_a"]
+    assert {r["doc"].count("\n") for r in files.read_raw_posts(spark, str(tmp_path / "in")).where("path like '%d.json'").collect()} == {4}
+    (tmp_path / "words.dic").write_text("%\n1\tanger\n%\nhate\t1\n")
+    assert sorted(r["n"] for r in files.read_lexicon(spark, str(tmp_path / "words.dic")).collect()) == [0, 1, 2, 3, 4]
+    for name in "bdefg":
+        (tmp_path / "in" / f"{name}.json").unlink()
     assert [r["id"] for r in files.read_jsonl(spark, str(tmp_path / "in")).collect()] == ["t1_a"]
     where = [str(tmp_path / x) for x in ("in", "out", "state")]
     resume.process_new(spark, *where)
@@ -258,6 +273,7 @@ def test_files_and_stream(spark, tmp_path):
     assert one.count() == again.count() == 3
     wider = files.cached_table(spark, f"file://{tmp_path}/cache", lambda: spark.range(3).selectExpr("id a", "id b"), needs=("b",))
     assert wider.columns == ["a", "b"]
+    assert files.cached_table(spark, f"file://{tmp_path}/cache", lambda: 1 / 0, needs=("b",)).columns == ["a", "b"]
 
 
 def test_stream_keeps_late_and_timeless_rows(spark, tmp_path):
@@ -315,3 +331,65 @@ def test_pipeline_state(spark, tmp_path):
     assert PipelineState(spark, f"file://{tmp_path}/state.json").phase("s") == 2 and state.todo(["s", "t"], 2) == ["t"]
     with pytest.raises(ValueError):
         state.finish("s", 9)
+
+
+def paths_of(parent):
+    """(cascade_id, id, path) rows of a forest given as id -> parent id."""
+
+    def up(i):
+        out = [i]
+        while parent[out[-1]] is not None:
+            out.append(parent[out[-1]])
+        return out[::-1]
+
+    return [(up(i)[0], i, up(i)) for i in parent]
+
+
+@pytest.mark.parametrize("shape", ["chain", "star", "random"])
+def test_subtree_sizes_and_runs_on_any_shape(spark, shape):
+    rng = random.Random(7)
+    parent = {0: None} | {i: i - 1 if shape == "chain" else 0 if shape == "star" else rng.randrange(max(0, i - 4), i) for i in range(1, 150)}
+    rows = paths_of(parent)
+    sizes = {i: sum(i in p for *_, p in rows) for i in parent}
+    bad = {i: rng.random() < (0.9 if shape == "chain" else 0.6) for i in parent}
+    nodes = spark.createDataFrame([(c, i, p, "NEGATIVE" if bad[i] else rng.choice(["NEUTRAL", None])) for c, i, p in rows], "cascade_id long, id long, path array<long>, label string")
+    assert {r["id"]: r["s"] for r in forest.subtree_sizes(nodes).collect()} == sizes
+
+    def run(path):
+        n = 0
+        for i in path[::-1]:
+            if not bad[i]:
+                break
+            n += 1
+        return n
+
+    got = forest.longest_negative_run(nodes).first()
+    assert got["longest_neg_run"] == max(run(p) for *_, p in rows)
+    assert got["longest_neg_run_ratio"] == pytest.approx(got["longest_neg_run"] / sum(bad.values()))
+    assert forest.subtree_sizes(nodes.limit(0)).count() == 0 and forest.longest_negative_run(nodes.limit(0)).count() == 0
+
+
+def test_motifs_of_a_star_and_a_clique(spark):
+    star = [("s", f"u{i:05d}", "hub") for i in range(3000)]
+    clique = [("k", f"v{a}", f"v{b}") for a in range(6) for b in range(6) if a != b]
+    got = {r["cascade_id"]: r for r in motifs.motif_counts(spark.createDataFrame(star + clique, "cascade_id string, source string, target string")).collect()}
+    assert (got["s"]["dyad"], got["s"]["fan_in"], got["s"]["total_motifs"]) == (3000, 3000 * 2999 // 2, 3000 + 3000 * 2999 / 2)
+    assert (got["k"]["mutual_dyad"], got["k"]["recip_triangle"], got["k"]["total_motifs"]) == (15, 20, 35)
+    assert motifs.motif_counts(spark.createDataFrame([], "cascade_id string, source string, target string")).count() == 0
+
+
+def test_running_sums_and_quantiles(spark):
+    rng = random.Random(3)
+    data = [(rng.choice("aab"), rng.choice([-1.5, 0.0, 2.0, float(rng.randrange(50))]), rng.randrange(5)) for _ in range(400)]
+    df = spark.createDataFrame([(g, v, n, i) for i, (g, v, n) in enumerate(data)], "g string, v double, n long, i long")
+    for falling in (False, True):
+        for r in stats.running(df, ["g"], ["v", "i"], {"upto": F.col("n")}, falling).collect():
+            place = lambda v, i: (-v, -i) if falling else (v, i)
+            assert r["upto"] == sum(n for i, (g, v, n) in enumerate(data) if g == r["g"] and place(v, i) <= place(r["v"], r["i"]))
+    got = {r["g"]: r for r in stats.quantiles(df, "g", "v", {"low": 0.1, "mid": 0.5, "top": 1.0}).collect()}
+    for g in "ab":
+        values = np.array([v for h, v, _ in data if h == g])
+        assert [got[g][k] for k in ("low", "mid", "top")] == pytest.approx(list(np.quantile(values, [0.1, 0.5, 1.0])))
+    assert stats.quantiles(df.limit(0), None, "v", {"mid": 0.5}).count() == 0
+    plan = stats.running(df, [], ["v"], {"upto": F.col("n")})._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SinglePartition") <= 1  # one row a range only
