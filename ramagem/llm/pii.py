@@ -1,8 +1,11 @@
 """Personal information in free text: patterns propose spans, checksums confirm them, the words around them decide.
 
-Every proposal has a base score by its form. A passing checksum raises it, and so do words nearby that announce such a
-value; words that announce something else (orders, cases, models, prices) lower it. Spans that reach the threshold and
-do not overlap a better one are reported or replaced by a placeholder of their type; the rest of the text is untouched.
+Every proposal has a base score by its form. Words nearby in the same sentence that announce such a value raise it; words
+that announce something else (orders, cases, models, prices) lower it. A checksum that holds decides: mod 11 (tax numbers)
+and mod 23 (identity numbers) lift a proposal over the threshold without any word, Luhn (cards) and mod 97 (account numbers)
+make a payment number of it, which no phone or identity number may overlap. One that fails decides nothing, as numbers
+are mistyped and made up. Spans that reach the threshold and do not overlap a better one are reported or replaced by a
+placeholder of their type; the rest of the text is untouched. Payment numbers are replaced too, but are none of KINDS.
 
 Null and empty texts have no spans and stay as they are. Texts are scanned whole, whatever their length.
 """
@@ -18,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 KINDS = ("email", "phone", "id_number", "address", "name")
-PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "name": "[NAME]"}
+PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "name": "[NAME]", "payment": "[PAYMENT]"}
 THRESHOLD = 0.5
 
 # Same length as the original, so that offsets hold.
@@ -27,10 +30,22 @@ _FOLD = {0xFF20: "@", 0xFE6B: "@", 0x2010: "-", 0x2011: "-", 0x2012: "-", 0x2013
 _FOLDABLE = re.compile("[" + "".join(map(chr, _FOLD)) + "]")
 
 # Fixed word lists: cues and given names in Portuguese, Spanish and English.
-ID_CUES = r"cpf|rg|cnpj|identidade|documento|passaporte|pasaporte|passport|dni|nie|nif|ssn|social security|seguridad social|id card|tax id|cadastro|boleto|recibo|vazaram|filtraron|leaked|form shows"
-PHONE_CUES = r"tel|telefone|tel[ée]fono|phone|call|liga|ligar|ll[áa]ma|llama|chama|zap|whats|whatsapp|celular|m[óo]vil|n[úu]mero [ée]|n[úu]mero es|number is|golpista usa|estafador usa|scammer uses|recado|depois das|after|text me|contato"
+ID_CUES = r"cpf|rg|cnpj|identidade|identidad|identity|documento|document|passaporte|pasaporte|passport|dni|nie|nif|ssn|social security|seguridad social|id card|id number|tax id|cadastro|ficha|formul[áa]rio|form|boleto|recibo|receipt|vaz(?:ou|aram)|filtr(?:[óo]|aron)|leak(?:ed)?"
+PHONE_CUES = r"tel|telefone|tel[ée]fono|phone|call|text|liga|ligar|ll[áa]ma|llamar|llama|chama|zap|whats|whatsapp|celular|m[óo]vil|mobile|n[úu]mero [ée]|n[úu]mero es|number is|golp\w+|estaf\w+|scam\w*|recado|contato|contacto|contact"
+PHONE_AFTER = r"recado|depois das|despu[ée]s de las|after|whats\w*|zap"
 OTHER_CUES = r"pedido|order|orden|protocolo|protocol|ticket|processo|proceso|case|caso|modelo|model|isbn|rastreio|rastreo|tracking|vers[ãa]o|versi[óo]n|version|placar|p[úu]blico|recorde|r[ée]cord|record|r\$|us\$|€|cep|c[óo]digo|code|nota fiscal|fatura|invoice|serial|s[ée]rie"
-FICTION_CUES = r"personagem|personaje|character|capit[ãa]o|capit[áa]n|captain|hero[íi]?|vil[ãa]o|jogador|time|team|equipo|livro|filme"
+FICTION_CUES = r"personagem|personaje|character|capit[ãa]o|capit[áa]n|captain|hero[íi]?|vil[ãa]o|villano|villain|jogador|jugador|player|time|team|equipo|livro|libro|book|filme|pel[íi]cula|movie|novela"
+PLACE_CUES = r"rua|avenida|av|calle|pra[çc]a|plaza|travessa|estrada|escola|escuela|school|col[ée]gio|hospital|est[áa]dio|stadium|bairro|barrio|street|road"
+# What comes before the name of a person: titles, introductions, signatures, roles, contact.
+NAME_CUES = (
+    r"sr|sra|srta|dona|do[nñ]a|dr|dra|mr|mrs|ms|prof|profa|nome [ée]|chamo|nombre es|llamo|name is|called|att|atte|assinado|firmado|signed|regards|sincerely|abra[çc]os|saludos|em nome de|en nombre de|on behalf of|"
+    r"atend\w+|helped|served|falar|fale|falei|fala|habl\w+|talk|talked|speak|spoke|procur\w+|busc(?:ar|a|o) a|ask for|conhece\w*|conoce\w*|met|"
+    r"s[íi]ndic[oa]|administrador\w*|vizinh[oa]|vecin[oa]|neighbou?r|caser[oa]|landlord|landlady|gerente|manager|atendente|vendedor\w*|seller|motorista|driver|chefe|jef[ea]|boss|colega|amig[oa]|friend"
+)
+# Of these, those that are followed by a full name even if its given name is none of the list.
+NAME_INTRODUCTIONS = r"meu nome [ée]|me chamo|mi nombre es|me llamo|my name is|i am called|sr|sra|srta|mr|mrs|ms|dra?|assinado|firmado|signed"
+# What a person does, after the name.
+NAME_AFTER = r"(?:n[ãa]o |no |nunca |never |does not |ainda )?(?:me |te |se |le |lhe |nos )?(?:dev[eo]\w*|deb[eí]\w*|owes?|respond\w+|mora|vive|lives|atend\w+|trabalh\w+|trabaj\w+|works?|lig[ao]\w*|llam\w+|calls?|called|escrev\w+|escrib\w+|writes|wrote|disse|dijo|said|vend\w+|sells|sold)\b"
 GIVEN_NAMES = """
 adriana agnes alberto alice aline alan amanda amy ana anarita andre andrea andres angela anna anne antonia antonio arthur augusto barbara beatriz benedita bernardo bianca
 brian bruna bruno caio camila carla carlos carmen carol carolina caroline catarina cecilia celia charles charlotte christine clara clarice claudia claudio clara cristina dalva daniel daniela david
@@ -72,7 +87,7 @@ ID_NUMBER = re.compile(
     r"|(?P<rg>\d{2}\.\d{3}\.\d{3}-[\dxX])"
     r"|(?P<ssn>\d{3}-\d{2}-\d{4})"
     r"|(?P<ssn_spaced>\d{3} \d{2} \d{4})"
-    r"|(?P<dni>[xyzXYZ]?-?\d{7,8}-?[a-zA-Z])"
+    r"|(?P<dni>[xyzXYZ]?-?\d{7,8}-?[a-zA-Z]|\d{1,2}\.\d{3}\.\d{3}-?[a-zA-Z])"
     r"|(?P<passport>[a-zA-Z]{2}\d{6,7})"
     r"|(?P<iban>[a-zA-Z]{2}\d{2}(?: ?[\dA-Z]{4}){3,7}(?: ?[\dA-Z]{1,3})?)"
     r"|(?P<card>\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4})"
@@ -97,23 +112,19 @@ STREET_EN = re.compile(
 )
 _STREET_EN_NOT = re.compile(r"\b(?:dollars?|days?|pesos|reais|years?|people|percent|minutes?|hours?|weeks?|months?|points?)\b", re.I)
 
-_NAME_CUE = (
-    r"(?:meu nome [ée]|me chamo|quem me atendeu foi|me atendeu|fal(?:ar|e|a|ei) com|procur(?:ar|e) (?:por|o|a)|(?:o sr|a sra|sr|sra|srta|dona|do[nñ]a|el sr|la sra|dr|dra|mr|mrs|ms|prof|profa)\.?|"
-    r"[oa] s[íi]ndic[oa]|algu[ée]m conhece(?: [oa])?|att|atte|assinado|abra[çc]os|em nome de|mi nombre es|me llamo|habl(?:a|ar|en) con|me atendi[óo]|alguien conoce a|conoce a|firmado|saludos|"
-    r"el administrador|la administradora|el vecino|la vecina|mi casero es|mi casera es|my name is|i am called|talk to|speak (?:to|with)|ask for|my landlord is|landlord is|(?:has |have )?anyone met|signed|regards|sincerely|helped by|was helped by|served by)"
-)
-NAME = re.compile(rf"(?<!\w){_NAME_CUE}\s*[,:]?\s+(?=[^\W\d_])", re.I)
-_PARTICLE = r"(?:d[aeo]s?|del|de\s+la)"
-_NAME_WORD = re.compile(r"[^\W\d_][^\W\d_'’]+(?:['’-][^\W\d_]+)*")
-_NAME_GAP = re.compile(rf"(?:,? |\s+{_PARTICLE}\s+)(?=[^\W\d_])", re.I)
+_NAME_WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
+_PARTICLES = frozenset(("de", "da", "do", "dos", "das", "del", "la"))
+_LINKING = r"(?:\W|\b(?:o|a|os|as|el|la|the|foi|fue|was|is|[ée]|es|com|con|with|to|by|por|de|for)\b){0,8}"
+_NAME_BEFORE = re.compile(rf"(?<!\w)(?:{NAME_CUES}){_LINKING}$", re.I)
+_NAME_AFTER = re.compile(rf"\s+{NAME_AFTER}", re.I)
+_INTRODUCED = re.compile(rf"(?<!\w)(?:{NAME_INTRODUCTIONS})\b[.,:]?\s+(?=[^\W\d_]{{3}})", re.I)
+_INTRODUCED_HINTS = ("nome ", "chamo", "nombre", "llamo", "name is", "am called", "sr", "mr", "ms", "dr", "assinado", "firmado", "signed")  # in every match
+_PLACE_BEFORE = re.compile(rf"(?<!\w)(?:{PLACE_CUES})\b[^\n.!?]{{0,12}}$", re.I)
+_SENTENCE_END = re.compile(r"(?<=[^\W_]{2})[.!?…]+\s|\n")
 _GIVEN = frozenset(GIVEN_NAMES)
-_ANY_CUE = {k: re.compile(rf"(?<![^\W_])(?:{v})(?![^\W_])" if k != "other" else rf"(?:{v})", re.I) for k, v in (("id", ID_CUES), ("phone", PHONE_CUES), ("other", OTHER_CUES), ("fiction", FICTION_CUES))}
+_ANY_CUE = {k: re.compile(rf"(?<![^\W_])(?:{v})(?![^\W_])" if k != "other" else rf"(?:{v})", re.I) for k, v in (("id", ID_CUES), ("phone", PHONE_CUES), ("phone after", PHONE_AFTER), ("other", OTHER_CUES), ("fiction", FICTION_CUES))}
 _HAS_EN_STREET = re.compile(r"\b(?:street|st|road|rd|lane|ln|avenue|ave|drive|dr|court|ct|boulevard|blvd|way|place|pl|terrace)\b", re.I)
 _STREET_HINTS = ("rua", "r.", "av", "trav", "tv.", "alameda", "al.", "estr", "rod", "pra", "largo", "calle", "c/", "plaza", "paseo")
-_NAME_HINTS = (
-    "nome", "nombre", "name", "chamo", "llamo", "called", "atende", "atendi", "falar com", "fale com", "fala com", "falei com", "procur", "sr", "dona ", "do\u00f1a ", "dr", "mr", "ms", "prof",
-    "ndic", "conhece", "conoce", "att", "assinado", "abra", "habl", "firmado", "saludos", "administrador", "vecin", "casero", "casera", "talk to", "speak ", "ask for", "landlord", "anyone met", "signed", "regards", "sincerely", "helped by", "served by",
-)
 
 
 @dataclass(frozen=True)
@@ -143,11 +154,12 @@ def mod97_holds(code: str) -> bool:
 
 
 def weighted_mod11_holds(digits: str) -> bool:
-    """Two check digits, each the sum by falling weights mod 11 (tax numbers of 11 digits)."""
-    if len(digits) != 11 or len(set(digits)) == 1:
+    """Two check digits, each a weighted sum mod 11 (tax numbers of 11 digits of persons, of 14 of companies)."""
+    if len(digits) not in (11, 14) or len(set(digits)) == 1:
         return False
-    for n in (9, 10):
-        rest = sum(int(d) * (n + 1 - i) for i, d in enumerate(digits[:n])) * 10 % 11 % 10
+    for n in (len(digits) - 2, len(digits) - 1):
+        weights = range(n + 1, 1, -1) if len(digits) == 11 else [(n - 1 - i) % 8 + 2 for i in range(n)]
+        rest = sum(int(d) * w for d, w in zip(digits, weights)) * 10 % 11 % 10
         if rest != int(digits[n]):
             return False
     return True
@@ -161,10 +173,12 @@ def letter23_holds(code: str) -> bool:
 
 
 def _around(text: str, a: int, z: int, before: int = 34, after: int = 26) -> tuple[str, str]:
-    """The words next to a span, within its own line."""
-    left = text[max(0, a - before) : a].rpartition("\n")[2]
-    right = text[z : z + after].partition("\n")[0]
-    return left, right
+    """The words next to a span, within its own sentence. A dot after one letter ends none."""
+    left, right = text[max(0, a - before) : a], text[z : z + after]
+    cut = max((e.end() for e in _SENTENCE_END.finditer(left)), default=0)
+    left = left[cut:]
+    end = _SENTENCE_END.search(right)
+    return left, right[: end.start()] if end else right
 
 
 def _nearest(cue: re.Pattern, left: str) -> int:
@@ -191,25 +205,28 @@ def _numbers(text: str, want: set[str]) -> Iterator[Span]:
             if kind == "phone":
                 if form == "dashed" and other < 30:
                     score -= 0.4
-                if phone == close and phone < 20 or re.match(r"\W{0,2}(?:recado|depois das|after|whats|zap|despu[ée]s)", right, re.I):
+                if phone == close and phone < 20 or _ANY_CUE["phone after"].match(right.lstrip(" ,;:(-")):
                     score += 0.45
                 if own == close and own < 8:
                     score -= 0.5
                 if form == "bare" and (len(digits) not in (10, 11) or weighted_mod11_holds(digits)):
                     score -= 0.3
+            elif form in ("card", "iban"):
+                # payment numbers are no identity numbers, and are sure only by their check digits
+                if luhn_holds(digits) if form == "card" else mod97_holds(m.group()):
+                    yield Span(*m.span(), "payment", 1.0)
+                continue
             else:
-                if own == close and own < 20 or re.match(r"\W{0,2}(?:t[áa] no recibo|est[áa] no recibo|is on|aparece)", right, re.I):
+                if own == close and own < 20 or own > 20 and _nearest(_ANY_CUE["id"], right[:20]) < 999:
                     score += 0.45
                 if phone == close and phone < 8 and phone < own:
                     score -= 0.5
-                if weighted_mod11_holds(digits) or form == "dni" and letter23_holds(m.group()) or form == "iban" and mod97_holds(m.group()):
-                    score += 0.35
-                if form in ("card", "iban"):  # payment numbers are no identity numbers
-                    continue
                 if form == "bare" and len(digits) not in (8, 9, 11) or form == "dni" and len(digits) < 7:
                     score -= 0.3
                 if form == "passport" and own >= 12:
                     score -= 0.3
+                if form != "passport" and weighted_mod11_holds(digits) or form == "dni" and letter23_holds(m.group()):
+                    score += 0.45
             if score >= THRESHOLD:
                 yield Span(*m.span(), kind, min(1.0, score))
 
@@ -236,61 +253,92 @@ def _addresses(text: str, low: str) -> Iterator[Span]:
                 yield Span(*m.span(), "address", 0.7)
 
 
-def _name_words(text: str, at: int) -> list[tuple[int, int, str]]:
-    """Name-like words from `at` on, single spaces, particles or one comma between them."""
-    out = []
-    while len(out) < 6:
-        m = _NAME_WORD.match(text, at)
-        if not m:
-            break
-        out.append((m.start(), m.end(), m.group()))
-        gap = _NAME_GAP.match(text, m.end())
-        if not gap:
-            break
-        at = gap.end()
-    return out
+class _Given(dict):
+    """Whether a lower-case word is a given name, with or without accents. Remembers what it met, up to a bound."""
 
+    def __missing__(self, word: str) -> bool:
+        if len(self) > 200_000:
+            self.clear()
+        got = self[word] = (word if word.isascii() else plain(word)) in _GIVEN
+        return got
 
-def _names(text: str) -> Iterator[Span]:
-    for cue in NAME.finditer(text):
-        words = _name_words(text, cue.end())
-        if len(words) < 2:
-            continue
-        left = text[max(0, cue.start() - 20) : cue.start()] + cue.group()
-        forms = [plain(w) for _, _, w in words]
-        titled = [w[0].isupper() for _, _, w in words]
-        run = 0  # words that can belong to the name: written like the first one
-        shout = words[0][2].isupper()
-        while run < len(words) and (words[run][2].isupper() if shout else titled[run]):
-            run += 1
-        given = forms[0] in _GIVEN
-        second = len(forms) > 1 and forms[1] in _GIVEN
-        score = 0.3 + 0.4 * given
-        if run >= 2:
-            take = run
-            score += 0.2
-            if second and not given and "," in text[words[0][1] : words[1][0]]:  # surname, given name
-                score += 0.4
-                take = 2
-            elif "," in text[words[0][1] : words[take - 1][0]]:
-                first = next(i for i in range(1, take) if "," in text[words[i - 1][1] : words[i][0]])
-                take = first if first >= 2 else take
-        elif given:  # all in lower case: the given names and one surname
-            take = 1
-            while take < len(forms) and forms[take] in _GIVEN:
-                take += 1
-            take = min(len(words), take + 1)
-            score -= 0.1
-        elif second and "," in text[words[0][1] : words[1][0]]:
-            take, score = 2, 0.6
+
+_IS_GIVEN = _Given()
+_QUICK_WORD = re.compile(r"[^\W\d_]{3,}")
+
+
+def _style(word: str) -> int:
+    """0 for lower case, 1 for a capital, 2 for capitals only."""
+    return 2 if len(word) > 1 and word.isupper() else 1 if word[0].isupper() else 0
+
+
+def _surnames(text: str, words: list[re.Match], at: int, style: int) -> int:
+    """How many words from `at` on are surnames, with particles and one initial; the number of the word after the last one."""
+    last, found = at, 0
+    while at < len(words):
+        gap = text[words[at - 1].end() : words[at].start()]
+        word = words[at].group()
+        if gap != " " and not (gap == ". " and len(words[at - 1].group()) == 1):
+            break
+        if len(word) == 1 and not found and text[words[at].end() : words[at].end() + 2] == ". ":
+            at += 1
+        elif word.lower() in _PARTICLES and found:
+            at += 1
+        elif len(word) > 2 and (_style(word) == style if style != 1 else _style(word) > 0) and (not found or style == 1 or words[at - 1].group().lower() in _PARTICLES):
+            at, found, last = at + 1, found + 1, at + 1
+            if found == 4:
+                break
         else:
+            break
+    return last if found else 0
+
+
+def _names(text: str, low: str) -> Iterator[Span]:
+    """Given names of the list with a surname after them, or before them and a comma; other full names after an introduction."""
+    for cue in _INTRODUCED.finditer(text) if any(h in low for h in _INTRODUCED_HINTS) else ():
+        m = _NAME_WORD.match(text, cue.end())
+        if m and _style(m.group()) == 1 and not _IS_GIVEN[m.group().lower()]:
+            words = [m, *_NAME_WORD.finditer(text, m.end(), m.end() + 80)]
+            end = _surnames(text, words, 1, 1)
+            if end:
+                yield Span(m.start(), words[end - 1].end(), "name", 0.55)
+    if not any(map(_IS_GIVEN.__getitem__, _QUICK_WORD.findall(low))):
+        return
+    words = list(_NAME_WORD.finditer(text))
+    given = [i for i, m in enumerate(words) if _IS_GIVEN[m.group().lower()]]
+    done = -1
+    for i in given:
+        if i <= done:
             continue
-        if take < 2:
+        first, style = i, _style(words[i].group())
+        after = i + 1
+        while after in given and text[words[after - 1].end() : words[after].start()] == " ":
+            after += 1
+        end = _surnames(text, words, after, style)
+        turned = False
+        if not end and after - i > 1:  # the last of several given names may be the surname
+            end = after
+        if not end and i and text[words[i - 1].end() : words[i].start()] == ", " and len(words[i - 1].group()) > 2 and _style(words[i - 1].group()) == style:
+            first, end, turned = i - 1, after, True
+            while first > 1 and words[first - 1].group().lower() in _PARTICLES and _style(words[first - 2].group()) == style and text[words[first - 2].end() : words[first].start()].strip().lower() in _PARTICLES:
+                first -= 2
+            if first and len(words[first - 1].group()) == 1 and text[words[first - 1].end() : words[first].start()] == ". ":
+                first -= 1
+        if not end:
             continue
-        if _ANY_CUE["fiction"].search(left):
+        a, z = words[first].start(), words[end - 1].end()
+        left, right = _around(text, a, z)
+        # a given name and a surname in capitals are a name; in lower case or turned round they need a word that says so
+        score = 0.35 + 0.2 * (style > 0 and not turned)
+        if _NAME_BEFORE.search(left):
+            score += 0.3
+        if _NAME_AFTER.match(right):
+            score += 0.25
+        if _ANY_CUE["fiction"].search(left) or _PLACE_BEFORE.search(left):
             score -= 0.6
         if score >= THRESHOLD:
-            yield Span(words[0][0], words[take - 1][1], "name", min(1.0, score))
+            yield Span(a, z, "name", min(1.0, score))
+            done = end - 1
 
 
 def find_spans(text: str | None) -> list[Span]:
@@ -307,8 +355,7 @@ def find_spans(text: str | None) -> list[Span]:
         found += _numbers(folded, {"phone", "id_number"})
     if digits:
         found += _addresses(folded, low)
-    if any(h in low for h in _NAME_HINTS):
-        found += _names(folded)
+    found += _names(folded, low)
     if len(found) < 2:
         return found
     kept: list[Span] = []
@@ -337,7 +384,7 @@ def kinds_found(texts: DataFrame) -> DataFrame:
             rows = []
             for record, key, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 if text:
-                    rows += [(record, key, kind) for kind in {s.kind for s in find_spans(text)}]
+                    rows += [(record, key, kind) for kind in {s.kind for s in find_spans(text)} if kind in KINDS]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*rows)], names=["record", "id", "kind"])
 

@@ -172,11 +172,25 @@ HITS = [
     ("meu nome é JOÃO TREVOVOL", "name", "JOÃO TREVOVOL"),
     ("o síndico edu ostricaque não responde", "name", "edu ostricaque"),
     ("att, Peltresciva, Antônia", "name", "Peltresciva, Antônia"),
+    ("o gerente Caio T. Bravadol me ligou", "name", "Caio T. Bravadol"),
+    ("Marta Ribalves de Souzela owes me money", "name", "Marta Ribalves de Souzela"),
+    ("what a team. I spoke with Helena Norvaz", "name", "Helena Norvaz"),
+    ("my name is Oskaru Lindqvarn", "name", "Oskaru Lindqvarn"),
+    ("o documento: 88.848.833-R", "id_number", "88.848.833-R"),
+    ("I lost my ticket. Text 217.555.0112", "phone", "217.555.0112"),
+    # check digits that hold decide without a word
+    ("e 52998224725 fim", "id_number", "52998224725"),
+    ("só 45.723.174/0001-10 mesmo", "id_number", "45.723.174/0001-10"),
+    ("12345678Z", "id_number", "12345678Z"),
+    ("4539 5787 6362 1486", "payment", "4539 5787 6362 1486"),
+    ("manda pra GB82 WEST 1234 5698 7654 32", "payment", "GB82 WEST 1234 5698 7654 32"),
+    # and block what would else be read as a phone number
+    ("liga: 4539 5787 6362 1486", "payment", "4539 5787 6362 1486"),
 ]
 MISSES = [
     None, "", "  ", "pedido 14584304645 ainda não chegou", "protocolo 6719-875-099", "fones modelo 40-82776-9870 em falta", "recorde de 681.845.188 pontos", "ISBN 978-0-0404-2690-1",
     "código de rastreio QX482403098ZZ", "levei 9@17.03 cada", "segue lá @trevimez_80", "u/zambovol196 já respondeu", "encontro na Rua Estrela Guia às 16h", "a linha 53 da Avenida Vereda Alta",
-    "a personagem Ana Rita Lua Torta do jogo", "placar 9x6, público 61376", "comprei por R$ 1480 na feira de rua", "instalei o pacote-rota@3.9.0",
+    "a personagem Ana Rita Lua Torta do jogo", "4539 5787 6362 1487", "e 52998224726 fim", "na escola Maria Souzela hoje", "EL VECINO ENCONTRÓ LA CONSOLA", "placar 9x6, público 61376", "comprei por R$ 1480 na feira de rua", "instalei o pacote-rota@3.9.0",
 ]
 
 
