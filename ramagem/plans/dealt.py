@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ramagem.functions.keys import bare_id, label_key, subreddit_key, valid_time
 from ramagem.operators import balance, compact, features, forest, hierarchy, nested
-from ramagem.session import scratch_path, shared_folder
+from ramagem.session import drop_later, scratch_path, shared_folder
 from ramagem.sources.tables import table
 
 DAY = 86_400
@@ -211,19 +211,23 @@ def p4_objects(spark: SparkSession, folder: str) -> DataFrame:
     return _objects(spark, folder).where("kind not in ('post', 'comment')")
 
 
-#: Small, so that the test data gives several output files.
-TEST_GROUP_BYTES = 16 << 20
-
-
 def _compacted(spark: SparkSession, folder: str) -> compact.Compacted:
     files = table(spark, folder, "raw_post").select("file_no", "path", "subreddit", "post_id", "harvested_at", "doc")
-    return compact.compact(files, scratch_path(spark, "compact"), group_bytes=TEST_GROUP_BYTES)
+    return compact.compact(files, drop_later(spark, scratch_path(spark, "compact")))
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return compact.same_post_pairs(_compacted(spark, folder).index)
 
 
+def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Every file with the file that stands for its post: the copy kept, and how many copies there are."""
+    index = _compacted(spark, folder).index
+    best = index.where("kept").select("post", F.col("file_no").alias("kept_file"))
+    size = index.groupBy("post").agg(F.count(F.lit(1)).alias("n_copies"))
+    return index.select("file_no", "post").join(best, "post").join(size, "post").select("file_no", "kept_file", "n_copies")
+
+
 def p5_manifest(spark: SparkSession, folder: str) -> DataFrame:
     """One row per output file."""
     groups = _compacted(spark, folder).manifest["groups"]
@@ -252,6 +256,7 @@ QUERIES = {
     "p4_comments": p4_comments,
     "p4_objects": p4_objects,
     "p5_found": p5_found,
+    "p5_groups": p5_groups,
     "p5_manifest": p5_manifest,
     "p5_records": p5_records,
 }

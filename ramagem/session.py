@@ -34,13 +34,18 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a folder of our own only where the setting is missing (tests)."""
+    """The folder named by spark.checkpoint.dir; a folder of our own only where the setting is missing and the master is local.
+
+    On a cluster without the setting this raises: a folder of one machine would not be there for the others.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or os.environ.get("RAMAGEM_SHARED_DIR")
     context = spark.sparkContext
     if named is None:
         set_already = context._jsc.sc().getCheckpointDir()
         if set_already.isDefined():
             return str(set_already.get())
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = "file://" + os.path.join(tempfile.gettempdir(), f"ramagem-{os.getuid()}")
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(named)
@@ -67,9 +72,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_later(spark: SparkSession, path: str) -> str:
+    """Have a folder deleted when the driver's Python ends."""
+    _SCRATCH.append((spark, path))
+    return path
+
+
 @atexit.register
 def drop_scratch() -> None:
-    """Delete the tables that cut_lineage wrote; frames built on them can no longer be read."""
+    """Delete the tables that cut_lineage wrote and what drop_later named; frames built on them can no longer be read."""
     while _SCRATCH:
         spark, path = _SCRATCH.pop()
         try:

@@ -297,11 +297,21 @@ def test_compaction_keeps_each_post_once(spark, tmp_path):
     assert pairs == sorted([(a, b) for a, pa_, *_ in data for b, pb, *_ in data if a < b and key(pa_) and key(pa_) == key(pb)], key=str)
 
 
+def test_compaction_planned_in_shelves(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(compact, "SHELF_GROUPS", 2)
+    monkeypatch.setattr(compact, "MOST_BROADCAST_ITEMS", 0)
+    files = spark.createDataFrame([(i, f"d/s/x{i % 150}.json", "s", None, None, "y" * (100 + i % 7)) for i in range(200)], FILE)
+    done = compact.compact(files, f"file://{tmp_path}/out", groups=7)
+    back = compact.read_compacted(spark, f"file://{tmp_path}/out")
+    assert back.count() == back.select("path").distinct().count() == 150 and 5 <= len(done.manifest["groups"]) <= 9
+    assert done.index.count() == 200 and done.index.where("kept and group_no is null or not kept and group_no is not null").count() == 0
+
+
 def test_compaction_of_nothing_and_of_damage(spark, tmp_path, monkeypatch):
     none = compact.compact(spark.createDataFrame([], FILE), f"file://{tmp_path}/none")
     assert none.manifest["rows"] == 0 and compact.read_compacted(spark, f"file://{tmp_path}/none").count() == 0
     files = spark.createDataFrame([(1, "a/b/c.json", None, None, None, "x")], FILE)
-    monkeypatch.setattr(compact, "_xor", lambda column: 1)  # as if a task had written something else
+    monkeypatch.setattr(compact, "_mark", lambda prints: 1)  # as if a task had written something else
     with pytest.raises(compact.ManifestError):
         compact.compact(files, f"file://{tmp_path}/bad", groups=1)
     assert not shared.exists(spark, f"file://{tmp_path}/bad/manifest.json")
