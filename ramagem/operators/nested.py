@@ -158,9 +158,13 @@ class StructuralIndex:
         string = ~inner & ~empty & (self.data[safe] == QUOTE) & (self.data[np.maximum(z - 1, 0)] == QUOTE) & (quotes == 2) & (z - a >= 2)
         scalar = ~inner & ~empty & (quotes == 0)
         whole = self.data.tobytes()
-        for i in np.flatnonzero(scalar).tolist():
-            text = whole[a[i] : z[i]]
-            if text not in _LITERALS and not _NUMBER.fullmatch(text):
+        good: dict[bytes, bool] = {}
+        for i, x, y in zip(*(v.tolist() for v in (np.flatnonzero(scalar), a[scalar], z[scalar]))):
+            text = whole[x:y]
+            fine = good.get(text)
+            if fine is None:
+                fine = good[text] = text in _LITERALS or _NUMBER.fullmatch(text) is not None
+            if not fine:
                 scalar[i] = False
         value = good_child | string | scalar
         now, then, in_object = self.char[t], self.char[n], is_object[container[t]]
@@ -344,8 +348,11 @@ class _Posts:
                 over = int(self.reply_to[over])
             yield d, post_ids.get(d), own, ids[over] if over >= 0 else post_ids.get(d)
 
-    def objects(self) -> Iterator[tuple]:
-        """A row for every object but the wrappers: listings, their data, and the data of entries (merged into the entry)."""
+    def objects(self, kinds: tuple[str, ...] | None = None, wanted: tuple[str, ...] | None = None) -> Iterator[tuple]:
+        """A row for every object but the wrappers: listings, their data, and the data of entries (merged into the entry).
+
+        kinds leaves out rows of other kinds, wanted members of other names, which then are not even decoded.
+        """
         ix, text = self.ix, self.text
         live = ix.c_valid & self.readable[ix.c_doc]
         entries = np.flatnonzero(self.entry)
@@ -372,11 +379,39 @@ class _Posts:
         low = np.searchsorted(ix.m_owner[use], np.arange(len(ix.c_open)), side="left")
         high = np.searchsorted(ix.m_owner[use], np.arange(len(ix.c_open)), side="right")
         colon_name = dict(zip(ix.m_colon[use].tolist(), use.tolist()))
-        number: dict[int, int] = {}
-        count: dict[int, int] = {}
+        # numbers in order of text within each document
+        row_doc = ix.c_doc[rows]
+        number = np.full(len(ix.c_open), -1, np.int64)
+        number[rows] = np.arange(len(rows)) - np.searchsorted(row_doc, row_doc) + 1
+        # the row above each one: wrappers are passed over
+        above_of = ix.c_parent[rows].copy()
+        owner_entry = owner_entry.copy()
+        while True:
+            seek = np.flatnonzero((above_of >= 0) & ~is_row[np.maximum(above_of, 0)])
+            if not len(seek):
+                break
+            c = above_of[seek]
+            above_of[seek] = np.where(owner_entry[c] >= 0, owner_entry[c], ix.c_parent[c])
+        code = None
+        if wanted is not None:
+            code = ix.key_codes(tuple(w.encode() for w in wanted)) >= 0
         post_ids = {d: self.entry_id(int(c)) for d, c in enumerate(self.post_of) if c >= 0}
         level: dict[int, int] = {}  # comments at or above it
         near: dict[int, str | None] = {}  # id of the nearest comment at or above, else of the post
+        # only entries change what is above a row, so that rows of kinds not asked for are passed over
+        if kinds is not None and set(kinds) <= set(ENTRY_KINDS.values()):
+            some = self.entry[rows]
+            if self.entry[above_of[some & (above_of >= 0)]].all():
+                rows, above_of = rows[some], above_of[some]
+
+        key_span, value_span, member_child, is_string = ix.m_key.tolist(), ix.m_value.tolist(), ix.m_child.tolist(), ix.m_string.tolist()
+        keys_seen: dict[bytes, str] = {}
+
+        def intern_key(raw: bytes) -> str:
+            got = keys_seen.get(raw)
+            if got is None:
+                got = keys_seen[raw] = _decode(b'"' + raw + b'"', 0, len(raw) + 2)
+            return got
 
         def name_of(c: int) -> str | None:
             while c >= 0 and ix.c_colon[c] < 0:
@@ -384,14 +419,10 @@ class _Posts:
             if c < 0:
                 return None
             a, z = ix.m_key[colon_name[int(ix.c_colon[c])]].tolist()
-            return _decode(text, a - 1, z + 1)
+            return intern_key(text[a:z])
 
-        for c in rows.tolist():
+        for c, up in zip(rows.tolist(), above_of.tolist()):
             d = int(ix.c_doc[c])
-            up = int(ix.c_parent[c])
-            while up >= 0 and not is_row[up]:
-                up = int(owner_entry[up]) if owner_entry[up] >= 0 else int(ix.c_parent[up])
-            number[c] = count[d] = count.get(d, 0) + 1
             entry = bool(self.entry[c])
             word = (ENTRY_KINDS.get(self.kind_is[c], self.kind_is[c]) or "entry") if entry else "object"
             if word == "comment" and not self.is_comment[c] or word == "post" and not self.is_post[c]:
@@ -400,20 +431,24 @@ class _Posts:
             above = near.get(up, post_ids.get(d))
             near[c] = own if word == "comment" and own is not None else above
             level[c] = level.get(up, 0) + (word == "comment")
+            if kinds is not None and word not in kinds:
+                continue
             fields, lists = {}, {}
             for holder in (c, int(self.box_of[c])) if entry else (c,):
                 if holder < 0:
                     continue
                 for m in use[low[holder] : high[holder]].tolist():
-                    a, z = ix.m_key[m].tolist()
-                    key = _decode(text, a - 1, z + 1)
-                    va, vz = ix.m_value[m].tolist()
-                    child = int(ix.m_child[m])
+                    if code is not None and not code[m]:
+                        continue
+                    a, z = key_span[m]
+                    key = intern_key(text[a:z])
+                    va, vz = value_span[m]
+                    child = member_child[m]
                     if child < 0:
-                        fields[key] = _scalar(text, va, vz, bool(ix.m_string[m]))
+                        fields[key] = _scalar(text, va, vz, is_string[m])
                     elif not ix.c_is_object[child] and not of_listing[child]:
                         lists[key] = text[va:vz].decode("utf-8", "replace")
-            yield d, number[c], number.get(up), word, name_of(c), int(ix.c_place[c]), level[c], post_ids.get(d), own, above, fields, lists
+            yield d, int(number[c]), int(number[up]) if up >= 0 else None, word, name_of(c), int(ix.c_place[c]), level[c], post_ids.get(d), own, above, fields, lists
 
 
 def _chunks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -464,9 +499,11 @@ def comment_links(files: DataFrame) -> DataFrame:
     return files.select("file_no", "doc").mapInArrow(run, LINK_SCHEMA)
 
 
-def flat_objects(files: DataFrame) -> DataFrame:
+def flat_objects(files: DataFrame, kinds: tuple[str, ...] | None = None, wanted: tuple[str, ...] | None = None) -> DataFrame:
     """One row for each object in files (file_no, doc), naming the object that holds it: see OBJECT_SCHEMA.
 
+    With kinds only objects of these kinds, with wanted only members of these names; obj and parent_obj stay the same.
+
     kind: post, comment, entry kinds of other names, or object. obj numbers the objects of a file in order of text,
     parent_obj is the number of the enclosing one (null at the top), depth the number of comments at or above. fields holds scalar members as text (the last of
     repeated keys), lists the arrays as JSON. Posts and comments have id; parent_id is the enclosing comment, else the post.
@@ -479,7 +516,7 @@ def flat_objects(files: DataFrame) -> DataFrame:
             for row, data, starts in _chunks(batch.column("doc")):
                 if not len(data):
                     continue
-                found = [(numbers[row + d].as_py(), *rest[:-2], list(rest[-2].items()), list(rest[-1].items())) for d, *rest in _Posts(data, starts).objects()]
+                found = [(numbers[row + d].as_py(), *rest[:-2], list(rest[-2].items()), list(rest[-1].items())) for d, *rest in _Posts(data, starts).objects(kinds, wanted)]
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*found), schema)], schema=schema)
 

@@ -170,13 +170,13 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return nested.comment_links(table(spark, folder, "raw_post")).select("post_id", "id", "parent_id").distinct()
 
 
-def _objects(spark: SparkSession, folder: str) -> DataFrame:
-    return nested.flat_objects(table(spark, folder, "raw_post"))
+def _objects(spark: SparkSession, folder: str, kinds: tuple[str, ...] | None = None, wanted: tuple[str, ...] | None = None) -> DataFrame:
+    return nested.flat_objects(table(spark, folder, "raw_post"), kinds, wanted)
 
 
 def p4_posts(spark: SparkSession, folder: str) -> DataFrame:
     field = F.col("fields")
-    return _objects(spark, folder).where("kind = 'post'").select(
+    return _objects(spark, folder, ("post",), ("subreddit", "author", "created_utc", "title", "selftext", "score")).where("kind = 'post'").select(
         "file_no",
         "obj",
         "id",
@@ -191,7 +191,7 @@ def p4_posts(spark: SparkSession, folder: str) -> DataFrame:
 
 def p4_comments(spark: SparkSession, folder: str) -> DataFrame:
     field = F.col("fields")
-    return _objects(spark, folder).where("kind = 'comment'").select(
+    return _objects(spark, folder, ("comment",), ("author", "created_utc", "body", "score")).where("kind = 'comment'").select(
         "file_no",
         "obj",
         "parent_obj",

@@ -151,7 +151,7 @@ def scan_jsonl(spark, folder):
 
 
 def flatten_tree(spark, folder):
-    o = nested.flat_objects(table(spark, folder, "raw_post")).where("kind = 'comment' and id is not null")
+    o = nested.flat_objects(table(spark, folder, "raw_post"), ("comment",), ()).where("kind = 'comment' and id is not null")
     return o.groupBy("file_no", "id").agg(F.min("parent_id").alias("parent_id"), F.min("depth").alias("depth"))
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ramagem.operators import balance, compact, features, hierarchy, nested
 from ramagem.sources import shared
+from ramagem.sources.tables import table
 
 
 def rows(df):
@@ -270,6 +271,16 @@ def test_links_to_more_comments_are_kept(spark):
     ]
 
 
+def test_pruned_objects_are_those_of_the_whole(spark):
+    files = table(spark, "/root/testdata/sf0.001", "raw_post")
+    every = nested.flat_objects(files)
+    names = ("author", "body", "score")
+    want = every.where("kind = 'comment'").select("file_no", "obj", "parent_obj", "name", "place", "depth", "post_id", "id", "parent_id", F.map_filter("fields", lambda k, _: k.isin(*names)).alias("fields"))
+    got = nested.flat_objects(files, ("comment",), names).select(want.columns)
+    plain = lambda df: sorted(str((*r[:-1], sorted(r["fields"].items()))) for r in df.collect())
+    assert plain(got) == plain(want)
+
+
 # 5 ---------------------------------------------------------------------------------------------------------------
 
 FILE = "file_no long, path string, subreddit string, post_id string, harvested_at timestamp_ntz, doc string"
