@@ -11,7 +11,6 @@ Null, empty and blank texts have no band (null). Texts are read whole. Several g
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ramagem.llm.codepoints import SEPARATOR, WordTable, class_table, classes, expand, hash_of, points, run_hashes, runs
+
 #: Hash counters of word frequencies.
 WORD_COUNTERS = 1 << 18
 #: Most graded documents the model is fitted on, chosen by hash of their id.
@@ -28,19 +29,32 @@ MAX_GRADED = 20_000
 PENALTY = 1.0
 BANDS = 5
 
-#: Longer runs of letters (keyboard runs, encoded data) are no words, nor are those that begin with a tripled letter.
-MAX_WORD = 24
-_WORD = re.compile(r"[^\W\d_]+")
-_SENTENCE = re.compile(r"[.!?…\n]+")
+#: Longer runs of letters (keyboard runs, encoded data) tell nothing of the length and rarity of words; their share is a feature of its own.
+LENGTH_COUNTED = 24
+#: Words are told apart for the diversity in windows of so many.
+DIVERSITY_WINDOW = 50
+#: Characters read at a time.
+CHUNK_CHARS = 1 << 21
 _URL = re.compile(r"https?://\S+|www\.\S+|\S+@\S+|`[^`\n]*`|<[^<>\n]{1,200}>|&[#\w]{2,8};")
 _VOWELS = re.compile(r"[aeiouyáéíóúâêôãõàü]+")
+_LETTER, _STOP, _COMMA, _APART = 1, 2, 4, 8
+_CLASS: list[np.ndarray] = []
+
+
+def _class() -> np.ndarray:
+    if not _CLASS:
+        _CLASS.append(class_table(str.isalpha, ".!?…\n", ",;:", "\x1e"))
+    return _CLASS[0]
+
 
 # Fixed word lists in Portuguese, Spanish and English.
 CONNECTIVES = """
 além ademais contudo todavia entretanto portanto logo assim porém outrossim destarte conforme consoante segundo entanto contrapartida sobretudo enquanto tanto
-además asimismo sin embargo obstante tanto mientras según conforme
+además asimismo obstante tanto mientras según conforme
 moreover furthermore however therefore thus hence nevertheless nonetheless consequently whereas accordingly according although
 """.split()
+#: Connectives of two words.
+CONNECTIVE_PAIRS = (("sin", "embargo"),)
 SUBORDINATORS = """
 que porque embora conquanto porquanto quando se como cujo cuja qual quais onde enquanto caso ainda apesar sem pois
 aunque cuando si donde cuyo cuya cual porque pues sino mientras
@@ -53,40 +67,74 @@ FUNCTION_WORDS = {
 }
 _CONNECTIVES, _SUBORDINATORS = frozenset(CONNECTIVES), frozenset(SUBORDINATORS)
 _FUNCTION = {k: frozenset(v) for k, v in FUNCTION_WORDS.items()}
+#: A word is rare from this surprise (minus the logarithm of its share of all words) on, a sentence hard from this mean length of its words on.
+RARE_WORD, HARD_SENTENCE = 9.0, 6.2
 FEATURES = (
     "log_words", "word_length", "word_length_sd", "long_words", "very_long_words", "syllables", "diversity", "rarity", "rarity_high", "rare_words",
-    "sentence_length", "sentence_length_max", "commas", "connectives", "subordinators", "depth", "top_sentence_words", "low_sentence_words", "hard_sentences", "lang_en", "lang_es",
+    "sentence_length", "sentence_length_max", "commas", "connectives", "subordinators", "depth", "top_sentence_words", "low_sentence_words", "hard_sentences", "lang_en", "lang_es", "runs",
 )
 
 
-def _words(text: str) -> list[str]:
-    return [w for w in _WORD.findall(text) if len(w) <= MAX_WORD and not (len(w) > 3 and w[0] == w[1] == w[2])]
+def counter_of(word: str) -> int:
+    return (hash_of(word) >> 1) & (WORD_COUNTERS - 1)
 
 
-def words_of(text: str) -> list[str]:
-    return _words(_URL.sub(" ", text).lower())
+_PAIRS = {w: i for i, (w, _) in enumerate(CONNECTIVE_PAIRS)}, {w: i for i, (_, w) in enumerate(CONNECTIVE_PAIRS)}
 
 
-def counter_of(word: str) -> int:
-    return zlib.crc32(word.encode("utf-8", "surrogatepass")) & (WORD_COUNTERS - 1)
+def _facts(word: str) -> tuple:
+    """Counter, length, syllables, connective, subordinator, language, and the numbers of the pairs that it begins and ends."""
+    kind = [int(word in v) for v in _FUNCTION.values()]
+    return (counter_of(word), min(len(word), LENGTH_COUNTED + 1), len(_VOWELS.findall(word)), word in _CONNECTIVES, word in _SUBORDINATORS, *kind, _PAIRS[0].get(word, -1), _PAIRS[1].get(word, -2))
+
+
+_COLUMNS = (np.int32, np.int16, np.int16, bool, bool, np.int8, np.int8, np.int8, np.int8, np.int8)
+
+
+class Reader:
+    """The words of many texts in order, as arrays."""
+
+    def __init__(self) -> None:
+        self.words = WordTable(_facts, _COLUMNS)
+
+    def read(self, texts: list[str | None]) -> dict[str, np.ndarray]:
+        clean = [_URL.sub(" ", t).lower() if t else "" for t in texts]
+        whole = SEPARATOR.join(clean)
+        if whole.count("\x1e") >= max(1, len(clean)):
+            whole = SEPARATOR.join(t.replace("\x1e", " ") for t in clean)
+        code = points(whole)
+        kind = classes(_class(), code)
+        first, last = runs((kind & _LETTER) > 0)
+        hashes = run_hashes(code, first, last)
+        row = self.words.rows(whole, first, last, hashes)
+        sentence = np.cumsum((kind & _STOP) > 0, dtype=np.int32)[first]
+        apart = np.cumsum((kind & _APART) > 0, dtype=np.int32)
+        out = dict(zip(("counter", "length", "syllables", "connective", "subordinator", "pt", "es", "en", "begins", "ends"), (c[row] for c in self.words.columns)))
+        commas = np.bincount(apart[(kind & _COMMA) > 0], minlength=len(texts))
+        return out | {"word": hashes, "sentence": sentence, "text": apart[first], "commas": commas}
+
+
+def _chunked(texts: list[str | None]) -> Iterator[tuple[int, list[str | None]]]:
+    """Runs of texts of about CHUNK_CHARS, with the number of the first; one long text is a run of its own."""
+    begin = size = 0
+    for i, t in enumerate(texts):
+        n = len(t) if t else 0
+        if size and size + n > CHUNK_CHARS:
+            yield begin, texts[begin:i]
+            begin, size = i, 0
+        size += n
+    if texts:
+        yield begin, texts[begin:]
 
 
 def count_words(documents: DataFrame) -> np.ndarray:
     """Occurrences of all words of all documents in hash counters. Partial counts are merged before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(WORD_COUNTERS, np.int64)
-        place: dict[str, int] = {}
+        reader, table = Reader(), np.zeros(WORD_COUNTERS, np.int64)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                if text:
-                    for w in words_of(text):
-                        c = place.get(w)
-                        if c is None:
-                            if len(place) > 500_000:
-                                place.clear()
-                            c = place[w] = counter_of(w)
-                        table[c] += 1
+            for _, texts in _chunked(batch.column(0).to_pylist()):
+                table += np.bincount(reader.read(texts)["counter"], minlength=WORD_COUNTERS)
         used = np.flatnonzero(table)
         if len(used):
             yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(table[used])], names=["counter", "n"])
@@ -98,48 +146,77 @@ def count_words(documents: DataFrame) -> np.ndarray:
     return out
 
 
+def _quantiles(group: np.ndarray, value: np.ndarray, first: np.ndarray, size: np.ndarray, q: float) -> np.ndarray:
+    """Quantiles with linear interpolation of the values of each group; groups in order, none empty."""
+    ordered = value[np.lexsort((value, group))]
+    at = (size - 1) * q
+    low = np.floor(at).astype(np.int64)
+    a = ordered[first + low]
+    return a + (ordered[first + np.minimum(low + 1, size - 1)] - a) * (at - low)
+
+
 class FeatureMaker:
     """Turns texts into feature rows, given the word counters of the corpus."""
 
     def __init__(self, counters: np.ndarray):
         total = max(1, int(counters.sum()))
         self.surprise = np.log((total + WORD_COUNTERS) / (counters + 1.0)).astype(np.float32)
-        self.place: dict[str, tuple[int, int]] = {}
-
-    def _word(self, word: str) -> tuple[float, int]:
-        got = self.place.get(word)
-        if got is None:
-            if len(self.place) > 500_000:
-                self.place.clear()
-            got = self.place[word] = (float(self.surprise[counter_of(word)]), len(_VOWELS.findall(word)))
-        return got
-
-    def row(self, text: str | None) -> list[float] | None:
-        if not text or not text.strip():
-            return None
-        clean = _URL.sub(" ", text)
-        words = _words(clean.lower())
-        if not words:
-            return None
-        n = len(words)
-        lengths = np.fromiter(map(len, words), np.float64, n)
-        known = [self._word(w) for w in words]
-        surprise = np.fromiter((k[0] for k in known), np.float64, n)
-        syllables = sum(k[1] for k in known) / n
-        sentences = [s for s in (_words(x) for x in _SENTENCE.split(clean.lower())) if s]
-        sizes = np.fromiter(map(len, sentences), np.float64, len(sentences))
-        means = np.array([sum(map(len, s)) / len(s) for s in sentences])
-        window = [len(set(words[i : i + 50])) / len(words[i : i + 50]) for i in range(0, n, 50) if n - i >= 25 or i == 0]
-        subordinate = sum(w in _SUBORDINATORS for w in words)
-        commas = clean.count(",") + clean.count(";") + clean.count(":")
-        share = {k: sum(w in v for w in words) / n for k, v in _FUNCTION.items()}
-        weights = sizes / sizes.sum()
-        return [
-            np.log1p(n), lengths.mean(), lengths.std(), (lengths >= 9).mean(), (lengths >= 13).mean(), syllables, sum(window) / len(window),
-            surprise.mean(), np.quantile(surprise, 0.75), (surprise > 9).mean(),
-            np.log1p(sizes.mean()), np.log1p(sizes.max()), commas / n, sum(w in _CONNECTIVES for w in words) / n, subordinate / n, (subordinate + commas) / len(sentences),
-            np.quantile(means, 0.9), np.quantile(means, 0.1), float((weights * (means > 6.2)).sum()), share["en"] - share["pt"], share["es"] - share["pt"],
-        ]
+        self.reader = Reader()
+
+    def rows(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of the text, features) of the texts that have words."""
+        parts = [(np.zeros(0, np.int64), np.zeros((0, len(FEATURES))))]
+        for begin, some in _chunked(texts):
+            at, x = self._rows(some)
+            parts.append((at + begin, x))
+        return np.concatenate([a for a, _ in parts]), np.concatenate([x for _, x in parts])
+
+    def _rows(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        r = self.reader.read(texts)
+        if not len(r["word"]):
+            return np.zeros(0, np.int64), np.zeros((0, len(FEATURES)))
+        first = np.flatnonzero(np.diff(r["text"], prepend=-1))
+        at = r["text"][first].astype(np.int64)
+        n = np.diff(first, append=len(r["word"])).astype(float)
+        group = np.repeat(np.arange(len(at)), n.astype(np.int64))
+        total = lambda v: np.bincount(group, v, minlength=len(at))
+        proper = r["length"] <= LENGTH_COUNTED
+        length, surprise = r["length"] * proper.astype(float), self.surprise[r["counter"]] * proper.astype(float)
+        counted = np.maximum(1.0, total(proper))
+        mean = total(length) / counted
+        pairs = np.zeros(len(group), bool)
+        pairs[:-1] = (r["begins"][:-1] == r["ends"][1:]) & (r["sentence"][:-1] == r["sentence"][1:])
+        # sentences
+        s_first = np.flatnonzero(np.diff(r["sentence"], prepend=-1))
+        sizes = np.diff(s_first, append=len(group)).astype(float)
+        s_group = group[s_first]
+        s_mean = np.add.reduceat(length, s_first) / np.maximum(1.0, np.add.reduceat(proper.astype(float), s_first))
+        s_count = np.bincount(s_group, minlength=len(at))
+        s_begin = np.searchsorted(s_group, np.arange(len(at)))
+        # windows for the diversity; a short last one counts only if it is the only one
+        place = np.arange(len(group)) - first[group]
+        window, w_size = place // DIVERSITY_WINDOW, n.astype(np.int64)
+        key = np.lexsort((r["word"], window, group))
+        fresh = (np.diff(group[key], prepend=-1) != 0) | (np.diff(window[key], prepend=-1) != 0) | (np.diff(r["word"][key], prepend=np.uint64(0)) != 0)
+        windows = -(-w_size // DIVERSITY_WINDOW)
+        w_first = np.concatenate(([0], np.cumsum(windows)))
+        slot = w_first[group] + window
+        distinct = np.bincount(slot[key][fresh], minlength=w_first[-1])
+        held = np.bincount(slot, minlength=w_first[-1])
+        w_group, w_place = expand(np.zeros(len(at), np.int64), windows)
+        use = (held * 2 >= DIVERSITY_WINDOW) | (w_place == 0)
+        diversity = np.bincount(w_group[use], (distinct / held)[use], minlength=len(at)) / np.bincount(w_group[use], minlength=len(at))
+        subordinate, commas = total(r["subordinator"]), r["commas"][at]
+        share = {k: total(r[k]) / n for k in _FUNCTION}
+        sentence_share = np.bincount(s_group, sizes * (s_mean > HARD_SENTENCE), minlength=len(at)) / n
+        integral = first, n.astype(np.int64)
+        features = (
+            np.log1p(n), mean, np.sqrt(np.maximum(total(length * length) / counted - mean * mean, 0)), total(length >= 9) / n, total(length >= 13) / n, total(r["syllables"] * proper) / counted, diversity,
+            total(surprise) / counted, _quantiles(group, surprise, *integral, 0.75), total(surprise > RARE_WORD) / n,
+            np.log1p(np.bincount(s_group, sizes, minlength=len(at)) / s_count), np.log1p(np.maximum.reduceat(sizes, s_begin)), commas / n, total(r["connective"] | pairs) / n, subordinate / n,
+            (subordinate + commas) / s_count, _quantiles(s_group, s_mean, s_begin, s_count, 0.9), _quantiles(s_group, s_mean, s_begin, s_count, 0.1), sentence_share, share["en"] - share["pt"], share["es"] - share["pt"], total(~proper) / n,
+        )
+        return at, np.stack(features, 1)
 
 
 @dataclass
@@ -217,10 +294,10 @@ def fit(documents: DataFrame, grades: DataFrame, limit: int = MAX_GRADED) -> tup
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maker = FeatureMaker(shared.value)
         for batch in batches:
-            rows = [(maker.row(t), b) for t, b in zip(batch.column("text").to_pylist(), batch.column("band").to_pylist())]
-            rows = [(f, b) for f, b in rows if f is not None]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([list(map(float, f)) for f, _ in rows], pa.list_(pa.float64())), pa.array([float(b) for _, b in rows])], names=["x", "band"])
+            at, x = maker.rows(batch.column("text").to_pylist())
+            if len(at):
+                band = batch.column("band").cast(pa.float64()).take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([pa.array(x.tolist(), pa.list_(pa.float64())), band], names=["x", "band"])
 
     seen = graded_sample(documents, grades, limit).select("text", "band").mapInArrow(run, "x array<double>, band double").toArrow()
     if not seen.num_rows:
@@ -241,11 +318,10 @@ def score(documents: DataFrame, model: OrdinalModel | None, counters: np.ndarray
         model, counters = shared.value
         maker = FeatureMaker(counters)
         for batch in batches:
-            rows = [maker.row(t) if model else None for t in batch.column("text").to_pylist()]
-            at = [i for i, r in enumerate(rows) if r is not None]
-            level, band, hard = (np.full(len(rows), np.nan) for _ in range(3))
-            if at:
-                above = model.above(np.array([rows[i] for i in at], float))
+            at, x = maker.rows(batch.column("text").to_pylist()) if model else (np.zeros(0, np.int64), np.zeros((0, len(FEATURES))))
+            level, band, hard = (np.full(batch.num_rows, np.nan) for _ in range(3))
+            if len(at):
+                above = model.above(x)
                 level[at] = 1 + above.sum(1)
                 band[at] = 1 + (above >= 0.5).sum(1)
                 hard[at] = above[:, 2]
