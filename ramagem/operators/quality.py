@@ -104,8 +104,8 @@ def confusion(pairs: DataFrame, truth: str, guess: str, labels: list[str]) -> Da
 
 
 def seeded_sample(df: DataFrame, key: str, n: int = 100, seed: int = 42) -> DataFrame:
-    """n rows by the order of a seeded hash of their key: the same rows on any cluster."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    """n rows by the order of a seeded hash of their key: the same rows on any cluster, and in any other engine with MD5."""
+    return df.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(f"-{seed}"))), key).limit(n)
 
 
 def annotation_merge(base: DataFrame, done: DataFrame, key: str = "id") -> DataFrame:

@@ -290,6 +290,15 @@ oncyc AS (SELECT DISTINCT id FROM hops WHERE spot = id)
 _PATHS = """
 k AS (SELECT file_no, lower(split_part(path, '/', -2)) AS s, lower(regexp_replace(regexp_replace(split_part(path, '/', -1), '\\.json.*$', ''), '^.*_', '')) AS p FROM raw_post)
 """
+_KEPT = """
+parts AS (SELECT file_no, path, harvested_at, doc, split_part(path, '/', -1) AS leaf, CASE WHEN path LIKE '%/%' THEN split_part(path, '/', -2) END AS folder FROM raw_post),
+keyed AS (SELECT *, nullif(lower(trim(folder)), '') AS sub, nullif(regexp_replace(lower(regexp_replace(leaf, '\\.json.*$', '')), '^.*_', ''), '') AS po FROM parts),
+named AS (SELECT *, CASE WHEN sub IS NOT NULL AND po IS NOT NULL THEN sub END AS sub_key, CASE WHEN sub IS NOT NULL AND po IS NOT NULL THEN po END AS post_key,
+          coalesce(CASE WHEN json_valid(doc) THEN json_type(CAST(doc AS JSON)) = 'ARRAY' AND json_array_length(CAST(doc AS JSON)) = 2 AND json_extract_string(doc, '$[0].kind') = 'Listing'
+          AND json_extract_string(doc, '$[1].kind') = 'Listing' AND json_extract(doc, '$[0].data') IS NOT NULL AND json_extract(doc, '$[1].data') IS NOT NULL END, false) AS readable FROM keyed),
+ranked AS (SELECT *, coalesce(sub_key || '/' || post_key, '#' || file_no) AS post, row_number() OVER (PARTITION BY coalesce(sub_key || '/' || post_key, '#' || file_no)
+           ORDER BY readable DESC, coalesce(harvested_at, TIMESTAMP '1900-01-01') DESC, coalesce(strlen(doc), 0) DESC, file_no DESC) AS r FROM named)
+"""
 _JSON = """
 docs AS (SELECT file_no, CAST(doc AS JSON) AS j FROM (SELECT file_no, doc FROM raw_post WHERE json_valid(doc))
          WHERE json_array_length(CAST(doc AS JSON)) = 2 AND json_extract_string(doc, '$[0].kind') = 'Listing' AND json_extract_string(doc, '$[1].kind') = 'Listing'),
@@ -326,6 +335,14 @@ FROM comments c LEFT JOIN h ON c.author = h.author GROUP BY c.author
 WITH {_EVENTS}
 SELECT author, type, count(*) AS n, CAST(sum(metadata_score) AS BIGINT) AS total, max(ts) AS last_ts FROM messages GROUP BY 1, 2
 """,
+    "p4_posts": f"""
+WITH RECURSIVE {_JSON}, first AS (SELECT file_no, json_extract(j, '$[0].data.children[0]') AS node FROM docs)
+SELECT file_no, 1 AS obj, nullif(regexp_replace(json_extract_string(node, '$.data.id'), '^.*_', ''), '') AS id, json_extract_string(node, '$.data.subreddit') AS subreddit, json_extract_string(node, '$.data.author') AS author,
+TRY_CAST(json_extract_string(node, '$.data.created_utc') AS DOUBLE) AS created_utc, json_extract_string(node, '$.data.title') AS title, json_extract_string(node, '$.data.selftext') AS selftext,
+TRY_CAST(json_extract_string(node, '$.data.score') AS BIGINT) AS score FROM first WHERE json_extract_string(node, '$.kind') = 't3'
+""",
+    "p5_records": f"WITH {_KEPT} SELECT file_no, sub_key, post_key, readable FROM ranked WHERE r = 1",
+    "p5_groups": f"WITH {_KEPT} SELECT file_no, first_value(file_no) OVER w AS kept_file, count(*) OVER (PARTITION BY post) AS n_copies FROM ranked WINDOW w AS (PARTITION BY post ORDER BY r)",
     "p2_window_types": f"""
 WITH {_EVENTS}
 SELECT author, type, count(*) AS n, CAST(sum(metadata_score) AS BIGINT) AS total, max(ts) AS last_ts FROM messages

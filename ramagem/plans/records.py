@@ -467,6 +467,7 @@ SELECT quartile, term, n FROM (SELECT *, row_number() OVER (PARTITION BY quartil
     "anonymize": f"SELECT type, id, parent_id, post_id, subreddit, CASE WHEN author IS NULL OR author IN ('[deleted]', '[removed]', 'deleted') THEN author ELSE sha256(author || '_{SALT}') END AS author, \"timestamp\", body, "
     "depth, metadata_score, is_valid_text, ai_analysis.label AS label, ai_analysis.confidence AS confidence, epoch_us(harvested_at) AS harvested_us FROM comments",
     "anon_validation": "SELECT * FROM (VALUES ('row count', true), ('rows by type', true), ('fields', true), ('ids', true), ('other fields', true), ('field match', true), ('hash form', true), ('no collisions', true)) v(\"check\", passed)",
+    "seeded_sample": f"WITH {_MSG} SELECT id, label FROM msg WHERE type = 'comment' ORDER BY md5(id || '-42'), id LIMIT 100",
     "record_counts": f"WITH {_MSG} SELECT type, count(*) AS n FROM msg GROUP BY 1",
     "distinct_authors": "SELECT count(DISTINCT author) AS authors, count(DISTINCT author) AS hashes FROM comments",
 }
