@@ -9,11 +9,11 @@ from ramagem.functions.keys import BODY_MARKERS
 
 # Patterns and replacements, in the order in which they apply.
 MARKUP = (
-    (r"!\[(?:gif|img)\]\(giphy\|([a-zA-Z0-9]+)[^)]*\)", "https://i.giphy.com/{1}.gif"),
+    (r"!\[(?:gif|img)\]\(giphy\|([a-zA-Z0-9]+)[^)]*\)", "https://i.giphy.com/$1.gif"),
     (r"!\[(?:img|gif)\]\(emote\|[^)]+\)", "[Reddit Emote]"),
-    (r"!\[img\]\(([a-zA-Z0-9]{10,20})\)", "https://i.redd.it/{1}.jpeg"),
-    (r"!\[gif\]\(([a-zA-Z0-9]{10,20})\)", "https://i.redd.it/{1}.gif"),
-    (r"https?://preview\.redd\.it/([a-zA-Z0-9_-]+\.(?:jpeg|jpg|png|gif))(?:\?[^\s\])]*)?", "https://i.redd.it/{1}"),
+    (r"!\[img\]\(([a-zA-Z0-9]{10,20})\)", "https://i.redd.it/$1.jpeg"),
+    (r"!\[gif\]\(([a-zA-Z0-9]{10,20})\)", "https://i.redd.it/$1.gif"),
+    (r"https?://preview\.redd\.it/([a-zA-Z0-9_-]+\.(?:jpeg|jpg|png|gif))(?:\?[^\s\])]*)?", "https://i.redd.it/$1"),
 )
 VIDEO_LINK = r"https?://(?:m\.|www\.)?(?:youtube\.com/(?:watch\?\S*v=|shorts/|embed/)|youtu\.be/)[a-zA-Z0-9_-]+[^\s\])]*"
 MEDIA_LINK = r"https?://\S+\.(?:jpg|jpeg|png|gif|mp4)"
@@ -25,7 +25,7 @@ MEDIA_FALLBACK = "Imagem sem descrição"
 
 def rewrite_markup(body: Column) -> Column:
     for pattern, replacement in MARKUP:
-        body = F.regexp_replace(body, pattern, replacement.replace("{1}", "$1"))
+        body = F.regexp_replace(body, pattern, replacement.replace("$1", "$1"))
     return body
 
 

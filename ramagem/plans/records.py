@@ -63,6 +63,12 @@ def markup_rewrite(spark, folder):
     return c.select(bare_id(F.col("id")).alias("id"), rewrite.rewrite_markup(F.col("body")).alias("body")).distinct()
 
 
+def loop_guard(spark, folder):
+    """Bodies with what the guard against looping descriptions makes of them, where it changes them."""
+    c = _comments(spark, folder).where("body is not null").select(bare_id(F.col("id")).alias("id"), "body", rewrite.guard_loop(F.col("body")).alias("kept"))
+    return c.where("body <> kept").select("id", "kept").distinct()
+
+
 def _links(column):
     def query(spark, folder):
         c = _comments(spark, folder).where("body is not null").select(bare_id(F.col("id")).alias("id"), F.explode(column(F.col("body"))).alias("link"))
@@ -341,7 +347,7 @@ def distinct_authors(spark, folder):
 QUERIES = {
     f.__name__: f
     for f in (
-        norm_ids, ts_coalesce, label_extract, category_map, validity_flag, markup_rewrite, media_replaced, infer_text, bypass_rules, score_stub, metadata_footer, union_messages, account_filter, usable_text,
+        norm_ids, ts_coalesce, label_extract, category_map, validity_flag, markup_rewrite, loop_guard, media_replaced, infer_text, bypass_rules, score_stub, metadata_footer, union_messages, account_filter, usable_text,
         sink_dedup, resume_anti, scan_raw_json, scan_jsonl, flatten_tree, resume_stream, activity_by_day, table_sentiment, comment_user_type, neg_quartile, valence_halves, tokenize, term_clouds,
         term_valence, term_extremes, lexicon_load, lexicon_match, lexicon_rates, lexicon_spearman, stopwords, topic_entropy, topics_per_class, topic_assign, label_alignment, label_intersect, ablation_matrix,
         agreement_metrics, agreement_by_quartile, confidence_means, annotation_merge, seeded_sample, anonymize, anon_validation, record_counts, distinct_authors,
@@ -380,8 +386,15 @@ def _quoted(text: str) -> str:
 
 
 def _rewritten(column: str) -> str:
-    for pattern, replacement in rewrite.MARKUP:
-        column = f"regexp_replace({column}, '{_quoted(pattern)}', '{replacement.replace('{1}', chr(92) + '1')}', 'g')"
+    """Literal patterns, written apart from those of the operator."""
+    for pattern, replacement in (
+        (r"!\[(gif|img)\]\(giphy\|([A-Za-z0-9]+)[^)]*\)", r"https://i.giphy.com/\2.gif"),
+        (r"!\[(gif|img)\]\(emote\|[^)]+\)", r"[Reddit Emote]"),
+        (r"!\[img\]\(([A-Za-z0-9]{10,20})\)", r"https://i.redd.it/\1.jpeg"),
+        (r"!\[gif\]\(([A-Za-z0-9]{10,20})\)", r"https://i.redd.it/\1.gif"),
+        (r"https?://preview\.redd\.it/([A-Za-z0-9_-]+\.(jpe?g|png|gif))(\?[^\s\])]*)?", r"https://i.redd.it/\1"),
+    ):
+        column = f"regexp_replace({column}, '{_quoted(pattern)}', '{_quoted(replacement)}', 'g')"
     return column
 
 

@@ -104,3 +104,32 @@ def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
     """(n, line) of a lexicon file, for parse_lexicon."""
     whole = spark.read.text(path, wholetext=True)
     return whole.select(F.posexplode(F.split("value", r"\r\n|\r|\n")).alias("n", "line"))
+
+
+def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Comma-separated files with a header; quotes inside values are doubled, nulls are empty."""
+    df.write.mode(mode).option("header", "true").option("escape", '"').csv(path)
+
+
+def report_text(sections: dict[str, DataFrame], style: str = "text", most: int = 10_000) -> str:
+    """Tables under titles, as aligned text or as LaTeX tables. For results of a few rows: more than `most` is an error."""
+    out = []
+    for title, df in sections.items():
+        rows = [["" if v is None else f"{v:.6g}" if isinstance(v, float) else str(v) for v in r] for r in df.limit(most + 1).collect()]
+        if len(rows) > most:
+            raise ValueError(f"{title}: a report is for at most {most} rows")
+        if style == "latex":
+            clean = lambda text: "".join("\\" + c if c in "&%$#_{}" else c for c in text)
+            lines = [" & ".join(map(clean, r)) + " \\\\" for r in [df.columns, *rows]]
+            begin = [r"\begin{table}[htbp]", r"\centering", rf"\caption{{{clean(title)}}}", rf"\begin{{tabular}}{{{'l' * len(df.columns)}}}", r"\hline"]
+            out.append("\n".join([*begin, lines[0], r"\hline", *lines[1:], r"\hline", r"\end{tabular}", r"\end{table}"]))
+        else:
+            wide = [max(len(r[i]) for r in [df.columns, *rows]) for i in range(len(df.columns))]
+            lines = ["  ".join(v.ljust(w) for v, w in zip(r, wide)).rstrip() for r in [df.columns, *rows]]
+            out.append("\n".join(["=" * 80, title, "=" * 80, *lines]))
+    return "\n\n".join(out) + "\n"
+
+
+def write_report(spark: SparkSession, path: str, sections: dict[str, DataFrame], style: str = "text") -> None:
+    """report_text() as one file, in full or not at all."""
+    shared.publish_text(spark, path, report_text(sections, style))

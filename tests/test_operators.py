@@ -393,3 +393,16 @@ def test_running_sums_and_quantiles(spark):
     assert stats.quantiles(df.limit(0), None, "v", {"mid": 0.5}).count() == 0
     plan = stats.running(df, [], ["v"], {"upto": F.col("n")})._jdf.queryExecution().executedPlan().toString()
     assert plan.count("SinglePartition") <= 1  # one row a range only
+
+
+def test_report_and_csv(spark, tmp_path):
+    df = spark.createDataFrame([("a_b", 1.5, None), ("c", None, 2)], "name string, x double, n int")
+    files.write_report(spark, f"file://{tmp_path}/r.txt", {"Things": df, "Nothing": df.limit(0)})
+    text = (tmp_path / "r.txt").read_text().splitlines()
+    assert text[1] == "Things" and text[3].split() == ["name", "x", "n"] and text[4].split() == ["a_b", "1.5"] and text[5].split() == ["c", "2"]
+    latex = files.report_text({"Share in %": df}, "latex")
+    assert r"\caption{Share in \%}" in latex and r"a\_b & 1.5 &  \\" in latex and r"\begin{tabular}{lll}" in latex
+    with pytest.raises(ValueError):
+        files.report_text({"Things": df}, most=1)
+    files.write_csv(spark.createDataFrame([('say "a, b"', None)], "t string, u string"), f"file://{tmp_path}/csv")
+    assert pd.read_csv(next((tmp_path / "csv").glob("*.csv"))).t.tolist() == ['say "a, b"']
