@@ -9,17 +9,26 @@ from ramagem.functions.bins import quartile
 from ramagem.functions.keys import VALID_LABELS
 from ramagem.operators import forest, messages, motifs, social, stats
 from ramagem.session import cut_lineage, with_scalars
+from ramagem.sources.shared import fingerprint
 from ramagem.sources.tables import table
 
-_HELD: dict[tuple[str, str, str], DataFrame] = {}
+_HELD: dict[tuple[str, str, str], tuple[str, DataFrame]] = {}
 
 
 def held(spark: SparkSession, folder: str, name: str, build) -> DataFrame:
-    """Silver and gold tables, written once per application and source folder and shared by all queries on it."""
-    key = (spark.sparkContext.applicationId, folder, name)
-    if key not in _HELD:
-        _HELD[key] = cut_lineage(build())
-    return _HELD[key]
+    """Silver and gold tables, written once per application and source folder and shared by all queries on it.
+
+    Built anew if the files of the folder have changed.
+    """
+    key, now = (spark.sparkContext.applicationId, folder, name), fingerprint(spark, folder)
+    if key not in _HELD or _HELD[key][0] != now:
+        _HELD[key] = (now, cut_lineage(build()))
+    return _HELD[key][1]
+
+
+def forget() -> None:
+    """Let the shared tables be built anew."""
+    _HELD.clear()
 
 
 def _messages(spark: SparkSession, folder: str) -> DataFrame:

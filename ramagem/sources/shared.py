@@ -27,6 +27,15 @@ def make_folder(spark: SparkSession, path: str) -> None:
     _fs(spark, path).mkdirs(_path(spark, path))
 
 
+def fingerprint(spark: SparkSession, path: str) -> str:
+    """Names, lengths and times of what lies in a folder of tables, and in the tables themselves if they are folders."""
+    fs, out = _fs(spark, path), []
+    for status in fs.listStatus(_path(spark, path)):
+        parts = fs.listStatus(status.getPath()) if status.isDirectory() else [status]
+        out += [f"{p.getPath().getName()}:{p.getLen()}:{p.getModificationTime()}" for p in parts]
+    return "|".join(sorted(out))
+
+
 def read_text(spark: SparkSession, path: str) -> str | None:
     if not exists(spark, path):
         return None

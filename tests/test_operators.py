@@ -406,3 +406,12 @@ def test_report_and_csv(spark, tmp_path):
         files.report_text({"Things": df}, most=1)
     files.write_csv(spark.createDataFrame([('say "a, b"', None)], "t string, u string"), f"file://{tmp_path}/csv")
     assert pd.read_csv(next((tmp_path / "csv").glob("*.csv"))).t.tolist() == ['say "a, b"']
+
+
+def test_shared_tables_follow_the_folder(spark, tmp_path):
+    where, build = f"file://{tmp_path}", lambda: spark.read.parquet(f"file://{tmp_path}/t.parquet")
+    spark.range(3).write.parquet(f"{where}/t.parquet")
+    assert cascades.held(spark, where, "x", build).count() == 3
+    spark.range(5).write.mode("append").parquet(f"{where}/t.parquet")
+    assert cascades.held(spark, where, "x", build).count() == 8
+    assert cascades.held(spark, where, "x", lambda: 1 / 0).count() == 8
